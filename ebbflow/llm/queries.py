@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ebbflow.llm import byte_bpe, packing, token_counts, token_output
+from ebbflow.llm import byte_bpe, packing, quality_classifier, quality_rules, simhash, substring, token_counts, token_output
 from ebbflow.llm.shared import ensure_checkpoint_dir
 
 
@@ -23,6 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
+
+
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), radius=2, size=3)
+
+
 def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{ensure_checkpoint_dir(spark)}/tokens-{uuid.uuid4().hex}"
     token_output.write_token_files(
@@ -39,11 +47,20 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeat_digests(table(spark, sf_dir, "documents"), window=35)
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     histogram = token_counts.length_histogram(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
     return token_counts.suffix_sums(histogram).withColumnRenamed("group", "lang")
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_classifier.score(docs, quality_classifier.fit(docs, table(spark, sf_dir, "labels")), threshold=0.7)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=1, max_length=2048, digest=True)
     return pieces.select(
@@ -53,12 +70,16 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality_rules": op1_quality_rules,
+        "op2_simhash": op2_simhash,
         "op3_token_output": op3_token_output,
         "op4_byte_bpe": op4_byte_bpe,
+        "op5_substring": op5_substring,
         "op6_token_counts": op6_token_counts,
+        "op7_quality_classifier": op7_quality_classifier,
         "op9_packing": op9_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_quality_rules": quality_rules.rules_sql()}
