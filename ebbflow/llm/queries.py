@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ebbflow.llm import byte_bpe, packing, quality_classifier, quality_rules, simhash, substring, token_counts, token_output
+from ebbflow.llm import ann, byte_bpe, chat, packing, quality_classifier, quality_rules, simhash, substring, token_counts, token_output
 from ebbflow.llm.shared import ensure_checkpoint_dir
 
 
@@ -61,6 +61,14 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score(docs, quality_classifier.fit(docs, table(spark, sf_dir, "labels")), threshold=0.7)
 
 
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "\\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    template = chat.Template()
+    return chat.formatted_digests(chat.format_conversations(rows, template), template)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=1, max_length=2048, digest=True)
     return pieces.select(
@@ -68,6 +76,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -77,7 +89,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_substring": op5_substring,
         "op6_token_counts": op6_token_counts,
         "op7_quality_classifier": op7_quality_classifier,
+        "op8_chat_format": op8_chat_format,
         "op9_packing": op9_packing,
+        "op10_nearest_neighbours": op10_nearest_neighbours,
     }
 
 
