@@ -276,5 +276,6 @@ def keep_one(docs: DataFrame, radius: int = 2, size: int = 3) -> DataFrame:
 
     Rows that repeat this id stay together, and so do rows with null ids.
     """
-    classes = near_duplicates(docs, radius, size).where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(classes, F.col("doc_id") == F.col("gone"), "left_anti")
+    gone = near_duplicates(docs, radius, size).where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone")).distinct()
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"))
+    return held.join(gone, F.col("id") == F.col("gone"), "left_anti").select("row.*")
