@@ -10,7 +10,9 @@ along as a halo.
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,7 +47,8 @@ def order_blocks(df: DataFrame, order_by: Names, blocks: int = BLOCKS) -> Column
     bounds = sorted(set(bounds))
     if not bounds:
         return F.lit(0)
-    return F.coalesce(F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < value)), F.lit(0))
+    # plain comparisons: compiled, and safe to infer filters from (a lambda would hide its column from the optimizer)
+    return F.coalesce(reduce(operator.add, [(value > b).cast("int") for b in bounds]), F.lit(0))
 
 
 def prefix(df: DataFrame, sums: Mapping[str, tuple[str, Column]], order_by: Names, key: Names = None, inclusive: bool = True, blocks: int = BLOCKS) -> DataFrame:
