@@ -16,6 +16,7 @@ query and block of rows, so what is shuffled is k rows for each query and task.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,10 @@ from ebbflow.llm.shared import cut_lineage, slices
 SAMPLE_ROWS = 8192
 QUERY_BLOCK = 2048
 ROW_BLOCK = 4096
+#: A beam step holds rows x beam x codewords numbers: 8 MB for so many rows.
+ENCODE_ROWS = 512
+#: Least squares solves for codebooks x codewords unknowns on the driver: 2,048 of them take 34 MB a matrix.
+CODEBOOKS = 8
 
 
 def _unit(values: np.ndarray) -> np.ndarray:
@@ -59,12 +64,25 @@ class Codebooks:
     def dimension(self) -> int:
         return self.words.shape[2]
 
-    def encode(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Codes (rows x codebooks, one byte each) and norms of the sums."""
+    @cached_property
+    def gram(self) -> np.ndarray:
+        """Products of all pairs of codewords."""
         m, k, d = self.words.shape
         flat = self.words.reshape(m * k, d)
+        return (flat @ flat.T).reshape(m, k, m, k)
+
+    def encode(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Codes (rows x codebooks, one byte each) and norms of the sums. Rows are taken ``ENCODE_ROWS`` at a time."""
+        codes, norms = np.zeros((len(units), len(self.words)), np.uint8), np.zeros(len(units))
+        for start in range(0, len(units), ENCODE_ROWS):
+            part = slice(start, start + ENCODE_ROWS)
+            codes[part], norms[part] = self._beam_search(units[part])
+        return codes, norms
+
+    def _beam_search(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        m, k, d = self.words.shape
+        flat, gram = self.words.reshape(m * k, d), self.gram
         cross = (units @ flat.T).reshape(-1, m, k)
-        gram = (flat @ flat.T).reshape(m, k, m, k)
         own = np.einsum("mkd,mkd->mk", self.words, self.words)
         n = len(units)
         codes = np.zeros((n, 1, 0), dtype=np.int64)
@@ -95,7 +113,7 @@ class Codebooks:
         return total / np.maximum(norms, 1e-12)[:, None].astype(np.float32)
 
 
-def fit_codebooks(sample: np.ndarray, codebooks: int = 16, codewords: int = 256, rounds: int = 8, beam: int = 8, seed: int = 7) -> Codebooks:
+def fit_codebooks(sample: np.ndarray, codebooks: int = CODEBOOKS, codewords: int = 256, rounds: int = 8, beam: int = 8, seed: int = 7) -> Codebooks:
     """Residual k-means for each codebook in turn, then least squares for all codewords at once with the codes held."""
     units = _unit(np.asarray(sample, dtype=np.float64))
     rng = np.random.default_rng(seed)
@@ -116,8 +134,8 @@ def fit_codebooks(sample: np.ndarray, codebooks: int = 16, codewords: int = 256,
         for j in range(codebooks):
             cells = np.bincount(codes[:, i].astype(np.int64) * k + codes[:, j], minlength=k * k)
             design[i * k : (i + 1) * k, j * k : (j + 1) * k] = cells.reshape(k, k)
-    ridge = design + np.eye(len(design)) * 1e-2
-    solved = np.linalg.solve(ridge, target + 1e-2 * first.words.reshape(codebooks * k, -1))
+    design[np.diag_indices(len(design))] += 1e-2  # towards the codewords so far
+    solved = np.linalg.solve(design, target + 1e-2 * first.words.reshape(codebooks * k, -1))
     return Codebooks(solved.reshape(codebooks, k, -1), beam)
 
 
@@ -133,7 +151,7 @@ def _vectors(column: pa.Array, d: int) -> np.ndarray:
     return np.asarray(column.flatten(), dtype=np.float64).reshape(-1, d)
 
 
-def build_index(vectors: DataFrame, sample_rows: int = SAMPLE_ROWS, codebooks: int = 16, beam: int = 8, **settings) -> tuple[Codebooks | None, DataFrame | None]:
+def build_index(vectors: DataFrame, sample_rows: int = SAMPLE_ROWS, codebooks: int = CODEBOOKS, beam: int = 8, **settings) -> tuple[Codebooks | None, DataFrame | None]:
     """Codebooks and the stored index ``vec_id, embedding, codes, norm`` of every usable row.
 
     The sample is the ``sample_rows`` usable vectors of the least hash of their
@@ -151,9 +169,7 @@ def build_index(vectors: DataFrame, sample_rows: int = SAMPLE_ROWS, codebooks: i
     def encode(batches):
         for batch in slices(batches, ROW_BLOCK):
             values = _vectors(batch.column(1), d)
-            codes, norms = np.zeros((len(values), codebooks), np.uint8), np.zeros(len(values))
-            for start in range(0, len(values), 512):
-                codes[start : start + 512], norms[start : start + 512] = model.encode(_unit(values[start : start + 512]))
+            codes, norms = model.encode(_unit(values))
             packed = [row.tobytes() for row in codes]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary()), pa.array(norms)], ["vec_id", "embedding", "codes", "norm"])
 
