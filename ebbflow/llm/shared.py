@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -35,6 +36,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The rows as zstd Parquet in the shared folder: what ``cut_lineage`` does, at a fraction of its disk for large tables."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -207,5 +216,5 @@ def mix64(values: np.ndarray) -> np.ndarray:
 
 __all__ = [
     "WORD_PATTERN", "BoundedCache", "PieceEncoder", "StorageLevel", "binary_values", "cut_lineage", "ensure_checkpoint_dir",
-    "library_encoder", "mix64", "shuffle_width", "slices", "string_values", "worker_encoder", "xxh64",
+    "library_encoder", "mix64", "shuffle_width", "slices", "stored", "string_values", "worker_encoder", "xxh64",
 ]

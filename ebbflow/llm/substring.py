@@ -18,14 +18,16 @@ all words of the windows around it. Then
    and compared by 128 bits. A bitmap of fixed size, at most 2**27 bits, tells
    that pass which parts those are; a false hit costs work and changes nothing.
 
-Shuffles carry fingerprints and positions; texts move once, to meet the
-positions found for them. Hot fingerprints are counted before the shuffle and
-joined by plain equality, which Spark may split.
+Shuffles carry fingerprints and positions. Another such bitmap keeps parts that
+occur once out of them, and texts move only where repeats were found, to meet
+their positions. Hot fingerprints are counted before the shuffle and joined by
+plain equality, which Spark may split.
 """
 
 from __future__ import annotations
 
 import hashlib
+import operator
 import uuid
 from functools import reduce
 from itertools import chain
@@ -36,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ebbflow.llm.shared import binary_values, cut_lineage, ensure_checkpoint_dir, mix64, shuffle_width, slices, xxh64
+from ebbflow.llm.shared import binary_values, ensure_checkpoint_dir, mix64, shuffle_width, slices, stored, xxh64
 
 BITMAP_BITS = 27
 RUN_SCHEMA = "part long, context long, did long, tag int, at int"
@@ -150,7 +152,7 @@ class FingerprintIndex:
                 yield from pa.Table.from_batches(held).sort_by("part").combine_chunks().to_batches()
 
         name = f"{self.path}/run-{uuid.uuid4().hex}"
-        _keyed(docs).mapInArrow(fingerprints, RUN_SCHEMA).write.parquet(name)
+        _keyed(docs).mapInArrow(fingerprints, RUN_SCHEMA).write.option("compression", "zstd").parquet(name)
         self.runs.append(name)
         if len(self.runs) > self.most_runs:
             self.compact()
@@ -163,17 +165,17 @@ class FingerprintIndex:
         """Merges all runs into one of disjoint, sorted ranges. The old files stay: others may still read them."""
         order = ["part", "context", "did", "at"]
         name = f"{self.path}/run-{uuid.uuid4().hex}"
-        self.entries().repartitionByRange(shuffle_width(self.spark), *order).sortWithinPartitions(*order).write.parquet(name)
+        self.entries().repartitionByRange(shuffle_width(self.spark), *order).sortWithinPartitions(*order).write.option("compression", "zstd").parquet(name)
         self.runs = [name]
 
 
-def _borders(recurring: DataFrame, counted: DataFrame) -> np.ndarray:
-    """Bitmap, by the upper bits of the hash, of parts that have a context found nowhere else. At most 2**27 bits."""
-    cell = F.shiftrightunsigned("part", 64 - BITMAP_BITS)
+def _bitmap(hashes: DataFrame) -> np.ndarray:
+    """Bitmap, by the upper bits, of the one column of ``hashes``. At most 2**27 bits, whatever the number of rows."""
+    h = F.col(hashes.columns[0])
+    cell = F.shiftrightunsigned(h, 64 - BITMAP_BITS)
     rows = (
-        counted.where("n = 1")
-        .groupBy(F.shiftright(cell, 6).alias("word"))
-        .agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(part, {64 - BITMAP_BITS}) & 63 as int))")).alias("bits"))
+        hashes.groupBy(F.shiftright(cell, 6).alias("word"))
+        .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), cell.bitwiseAND(63).cast("int"))).alias("bits"))
         .toArrow()
     )
     words = np.zeros(1 << (BITMAP_BITS - 6), dtype=np.int64)
@@ -181,6 +183,15 @@ def _borders(recurring: DataFrame, counted: DataFrame) -> np.ndarray:
     return words.view(np.uint64)
 
 
+def _listed(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    cell = hashes.view(np.uint64) >> np.uint64(64 - BITMAP_BITS)
+    return (bitmap[(cell >> np.uint64(6)).astype(np.int64)] >> (cell & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def _equal(*pairs: tuple[str, str]):
+    return reduce(operator.and_, [F.col(a) == F.col(b) for a, b in pairs])
+
+
 def repeated_positions(index: FingerprintIndex, texts: DataFrame) -> DataFrame:
     """``did, tag, marks``: for each text with repeats a list of ``2 * position + kind``.
 
@@ -188,18 +199,26 @@ def repeated_positions(index: FingerprintIndex, texts: DataFrame) -> DataFrame:
     window that starts there is. ``texts`` must hold every document that was
     added to the index (only its borders are read again).
     """
-    entries, window, part = index.entries(), index.window, index.part
-    often = entries.groupBy(F.col("part").alias("p")).agg(F.count("*").alias("n")).where("n > 1").select("p")
-    recurring = cut_lineage(entries.join(often, F.col("part") == F.col("p"), "left_semi"))
-    counted = recurring.groupBy("part", "context").agg(F.count("*").alias("n"))
-    words = index.spark.sparkContext.broadcast(_borders(recurring, counted))  # at most 16 MB
+    entries, window, part, spark = index.entries(), index.window, index.part, index.spark
+    often = stored(entries.groupBy("part").agg(F.count("*").alias("n")).where("n > 1").select("part"))
+    recurs = spark.sparkContext.broadcast(_bitmap(often))  # at most 16 MB, like the others below
+
+    def recurring(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(_listed(recurs.value, batch.column(0).to_numpy())))
+
+    # nearly all parts that occur once stay out of the shuffles; the joins below are exact
+    hits = entries.mapInArrow(recurring, RUN_SCHEMA)
+    counted = stored(hits.groupBy("part", "context").agg(F.count("*").alias("n")))
+    inside = counted.where("n > 1").select(F.col("part").alias("p"), F.col("context").alias("c"))
+    whole = hits.join(inside, _equal(("part", "p"), ("context", "c")), "left_semi").select("did", "tag", (F.col("at") * 2).alias("mark"))
+    alone = counted.where("n = 1").select("part").join(often.select(F.col("part").alias("p")), _equal(("part", "p")), "left_semi")
+    borders = spark.sparkContext.broadcast(_bitmap(alone))
 
     def windows(batches):
-        bitmap = words.value
         for batch in slices(batches, 256):
             found = Windows(binary_values(batch.column(2)), window, part)
-            cell = found.part >> np.uint64(64 - BITMAP_BITS)
-            hit = np.flatnonzero(bitmap[(cell >> np.uint64(6)).astype(np.int64)] >> (cell & np.uint64(63)) & np.uint64(1))
+            hit = np.flatnonzero(_listed(borders.value, found.part))
             n = found.high[hit] - found.low[hit] + 1
             row = np.repeat(found.row[hit], n)
             begins = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(found.low[hit], n)
@@ -213,14 +232,10 @@ def repeated_positions(index: FingerprintIndex, texts: DataFrame) -> DataFrame:
                 ["w", "v", "did", "tag", "at"],
             )
 
-    single = cut_lineage(_keyed(texts).mapInArrow(windows, "w long, v long, did long, tag int, at int"))
-    inside = counted.where("n > 1").select(F.col("part").alias("p"), F.col("context").alias("c"))
-    both = (F.col("part") == F.col("p")) & (F.col("context") == F.col("c"))
-    whole = recurring.join(inside, both, "left_semi").select("did", "tag", (F.col("at") * 2).alias("mark"))
+    single = stored(_keyed(texts).mapInArrow(windows, "w long, v long, did long, tag int, at int"))
     twice = single.groupBy(F.col("w").alias("w2"), F.col("v").alias("v2")).agg(F.count("*").alias("n")).where("n > 1").select("w2", "v2")
-    same = (F.col("w") == F.col("w2")) & (F.col("v") == F.col("v2"))
-    alone = single.join(twice, same, "left_semi").select("did", "tag", (F.col("at") * 2 + 1).alias("mark"))
-    return whole.unionByName(alone).groupBy("did", "tag").agg(F.collect_set("mark").alias("marks"))
+    same = single.join(twice, _equal(("w", "w2"), ("v", "v2")), "left_semi").select("did", "tag", (F.col("at") * 2 + 1).alias("mark"))
+    return whole.unionByName(same).groupBy("did", "tag").agg(F.collect_set("mark").alias("marks"))
 
 
 def _kept(text: bytes, marks, window: int, part: int) -> tuple[list[bytes], int]:
@@ -238,18 +253,45 @@ def _kept(text: bytes, marks, window: int, part: int) -> tuple[list[bytes], int]
     return [w for w, g in zip(words, gone.tolist(), strict=True) if not g], int(gone.sum())
 
 
-def _matched(docs: DataFrame, index: FingerprintIndex | None, history: DataFrame | None, window: int, part: int):
+def _matched(docs: DataFrame, index: FingerprintIndex | None, history: DataFrame | None, window: int, part: int) -> DataFrame:
+    """``of_did, of_tag, marks`` of the documents that have repeats."""
     spark = docs.sparkSession
     if index is None:
         index = FingerprintIndex(spark, f"{ensure_checkpoint_dir(spark)}/fingerprints-{uuid.uuid4().hex}", window, part)
     index.add(docs)
     texts = [d.select("doc_id", "text") for d in (history, docs) if d is not None]
     marks = repeated_positions(index, reduce(DataFrame.unionByName, texts))
-    return index, marks.select(F.col("did").alias("of_did"), F.col("tag").alias("of_tag"), "marks")
+    return stored(marks.select(F.col("did").alias("of_did"), F.col("tag").alias("of_tag"), "marks"))
+
+
+def _cut(rows: DataFrame, marks: DataFrame, work, schema: T.StructType | str) -> DataFrame:
+    """``work(batches)`` over the columns of ``rows(did, tag, ...)`` but these two, and ``marks``.
+
+    A bitmap tells which documents may have marks. The others are worked on
+    where they are read; only these move, to meet their marks.
+    """
+    mark = F.xxhash64("of_did", "of_tag").alias("h")
+    bitmap = rows.sparkSession.sparkContext.broadcast(_bitmap(marks.select(mark)))
+    kept = [c for c in rows.columns if c not in ("did", "tag")]
+    keyed = rows.select(*kept, "did", "tag", F.xxhash64("did", "tag").alias("h"))
+    none = pa.list_(pa.int32())
+
+    def stay(batches):
+        def free():
+            for batch in batches:
+                left = batch.filter(pa.array(~_listed(bitmap.value, batch.column(len(kept) + 2).to_numpy())))
+                columns = [left.column(k) for k in range(len(kept))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.nulls(left.num_rows, none)], [*kept, "marks"])
+
+        yield from work(free())
 
+    def move(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(_listed(bitmap.value, batch.column(len(kept) + 2).to_numpy())))
 
-def _with_marks(rows: DataFrame, marks: DataFrame) -> DataFrame:
-    return rows.join(marks, (F.col("did") == F.col("of_did")) & (F.col("tag") == F.col("of_tag")), "left")
+    moved = keyed.mapInArrow(move, keyed.schema)
+    met = moved.join(marks, _equal(("did", "of_did"), ("tag", "of_tag")), "left").select(*kept, "marks")
+    return keyed.mapInArrow(stay, schema).unionByName(met.mapInArrow(work, schema))
 
 
 def repeat_digests(
@@ -265,11 +307,10 @@ def repeat_digests(
     another are each other's copies. Other columns are ignored; an empty table
     gives no rows.
     """
-    index, marks = _matched(docs, index, history, window, part)
-    known = docs.where(F.lit(True)).select("doc_id", "text")
+    marks = _matched(docs, index, history, window, part)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     id_ = F.col("doc_id").cast("long")
-    rows = known.select(id_.alias("doc_id"), F.coalesce(id_, F.lit(0)).alias("did"), F.hash(text, id_.isNull()).alias("tag"), text.alias("text"))
+    rows = docs.select(id_.alias("doc_id"), text.alias("text"), F.coalesce(id_, F.lit(0)).alias("did"), F.hash(text, id_.isNull()).alias("tag"))
 
     def digest(batches):
         for batch in slices(batches, 1024):
@@ -282,8 +323,7 @@ def repeat_digests(
                 ["doc_id", "n_words", "n_removed", "kept_sha256"],
             )
 
-    joined = _with_marks(rows, marks).select("doc_id", "text", "marks")
-    return joined.mapInArrow(digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return _cut(rows, marks, digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def remove_repeats(
@@ -295,7 +335,7 @@ def remove_repeats(
     ``n_chars``, if there, is their new length; other texts stay as they are.
     All rows stay, also those that lose every word.
     """
-    index, marks = _matched(docs, index, history, window, part)
+    marks = _matched(docs, index, history, window, part)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     id_ = F.col("doc_id").cast("long")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(id_, F.lit(0)).alias("did"), F.hash(text, id_.isNull()).alias("tag"))
@@ -309,9 +349,8 @@ def remove_repeats(
                 out.append(b" ".join(kept).decode() if gone else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["row", "cut"])
 
-    joined = _with_marks(rows, marks).select("row", "marks")
-    schema = T.StructType([T.StructField("row", joined.schema["row"].dataType), T.StructField("cut", T.StringType())])
-    cut = joined.mapInArrow(clean, schema)
+    schema = T.StructType([T.StructField("row", rows.schema["row"].dataType), T.StructField("cut", T.StringType())])
+    cut = _cut(rows, marks, clean, schema)
     columns = [F.col(f"row.`{c}`").alias(c) for c in docs.columns]
     named = dict(zip(docs.columns, columns, strict=True))
     named["text"] = F.coalesce("cut", "row.text").alias("text")
