@@ -29,7 +29,7 @@ from ebbflow.llm.shared import PieceEncoder, slices, string_values
 class ByteBpe:
     """Encoder and decoder over ranks ``{bytes: id}``; every single byte must have one."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, cache: int = 300_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cache: int = 600_000):
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.words = {rank: token for token, rank in ranks.items()}
         self.pieces = PieceEncoder(self._split, self._whole, False, cache, self._core)
