@@ -76,7 +76,7 @@ class Member(Sequential):
         self.base.run(state["base"], np.repeat(row[None, :], k, axis=0), np.repeat(label, k), False)
 
     def apply(self, state, x):
-        predicted, shares = self._answers(state, x)
+        predicted, shares = self._answers(state, x[:, :-1])
         return {"y_pred": predicted, "proba": shares}
 
     def dump(self, state):

@@ -18,7 +18,7 @@ def from_columns(spark: SparkSession, x: Sequence[Sequence[float]], y: Sequence
     schema = "seq long, x array<double>" + (f", y {kind}" if y is not None else "")
     if y is not None and len(x) != len(y):
         raise ValueError("x and y differ in length")
-    rows = [(i, [float(v) for v in row], *([y[i]] if y is not None else [])) for i, row in enumerate(x, 1)]
+    rows = [(i, [float(v) for v in row], *([y[i - 1]] if y is not None else [])) for i, row in enumerate(x, 1)]
     return spark.createDataFrame(rows, schema)
 
 
