@@ -176,7 +176,9 @@ def quality_rules(docs: DataFrame, rules: Rules | None = None, lang: str | None
 def keep_good(docs: DataFrame, rules: Rules | None = None, lang: str | None = "lang") -> DataFrame:
     """Rows of ``docs``, all columns, that ``quality_rules`` keeps; ids need not be unique."""
     inside = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc_id"), "text", *([lang] if lang in docs.columns else []))
-    return quality_rules(inside, rules, lang).where("kept").select("doc_id.*")
+    # a filter that could sink below the projections would take a copy of all their expressions along
+    judged = quality_rules(inside, rules, lang).withColumn("place", F.monotonically_increasing_id())
+    return judged.where(F.col("kept") & (F.col("place") >= 0)).select("doc_id.*")
 
 
 def rules_sql(rules: Rules | None = None, source: str = "documents") -> str:
