@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ebbflow.llm.shared import cut_lineage, slices
+from ebbflow.llm.shared import arrow_map, cut_lineage, slices
 
 SAMPLE_ROWS = 8192
 QUERY_BLOCK = 2048
@@ -167,14 +167,14 @@ def build_index(vectors: DataFrame, sample_rows: int = SAMPLE_ROWS, codebooks: i
     model = fit_codebooks(np.array([v for v in sample if len(v) == d]), codebooks, beam=beam, **settings)
 
     def encode(batches):
-        for batch in slices(batches, ROW_BLOCK):
+        for batch in slices(batches, ROW_BLOCK, 1 << 24):
             values = _vectors(batch.column(1), d)
             codes, norms = model.encode(_unit(values))
             packed = [row.tobytes() for row in codes]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary()), pa.array(norms)], ["vec_id", "embedding", "codes", "norm"])
 
     same = rows.where(F.size("embedding") == d)
-    index = cut_lineage(same.mapInArrow(encode, "vec_id long, embedding array<double>, codes binary, norm double"))
+    index = cut_lineage(arrow_map(same, encode, "vec_id long, embedding array<double>, codes binary, norm double"))
     return model, index
 
 
@@ -204,7 +204,7 @@ def search(model: Codebooks, index: DataFrame, queries: DataFrame, k: int = 5, r
             ids, values = held.value
             units = _unit(values)
             lengths = np.linalg.norm(values, axis=1)
-            for batch in slices(batches, ROW_BLOCK):
+            for batch in slices(batches, ROW_BLOCK, 1 << 24):
                 own = batch.column(0).to_numpy()
                 rows = _vectors(batch.column(1), d)
                 codes = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.uint8).reshape(len(own), -1)
@@ -226,7 +226,7 @@ def search(model: Codebooks, index: DataFrame, queries: DataFrame, k: int = 5, r
                         out_s.append(exact[take])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_q, out_v, out_s)], ["query_id", "vec_id", "score"])
 
-        found.append(index.mapInArrow(look, RESULT_SCHEMA))
+        found.append(arrow_map(index, look, RESULT_SCHEMA))
     if not found:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     union = found[0]

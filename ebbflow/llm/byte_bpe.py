@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ebbflow.llm.shared import PieceEncoder, slices, string_values
+from ebbflow.llm.shared import PieceEncoder, arrow_map, held, slices, string_values
 
 
 class ByteBpe:
@@ -126,13 +126,8 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-_LOADED: dict[tuple[str, str], ByteBpe] = {}
-
-
 def worker_bpe(ranks_path: str, pattern: str) -> ByteBpe:
-    if (ranks_path, pattern) not in _LOADED:
-        _LOADED[ranks_path, pattern] = ByteBpe(load_ranks(ranks_path), pattern)
-    return _LOADED[ranks_path, pattern]
+    return held((ranks_path, pattern), lambda: ByteBpe(load_ranks(ranks_path), pattern))
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -150,7 +145,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFram
             ids = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.frombuffer(b"".join(chunks), dtype="<i4")))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["doc_id", "ids"])
 
-    return _rows(docs).mapInArrow(encode, "doc_id long, ids array<int>")
+    return arrow_map(_rows(docs), encode, "doc_id long, ids array<int>", encodes=True)
 
 
 def decode_documents(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -162,7 +157,7 @@ def decode_documents(encoded: DataFrame, ranks_path: str, pattern: str) -> DataF
             texts = [bpe.decode(np.array(ids or [], dtype="<u4").tobytes()) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary())], ["doc_id", "bytes"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(decode, "doc_id long, bytes binary")
+    return arrow_map(encoded.select("doc_id", "ids"), decode, "doc_id long, bytes binary", encodes=True)
 
 
 def round_trip_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -182,7 +177,7 @@ def round_trip_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFr
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return _rows(docs).mapInArrow(digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return arrow_map(_rows(docs), digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", encodes=True)
 
 
 def _rows(docs: DataFrame) -> DataFrame:

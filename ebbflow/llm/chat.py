@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ebbflow.llm.shared import arrow_map
+
 
 @dataclass(frozen=True)
 class Template:
@@ -137,7 +139,7 @@ def format_conversations(conversations: DataFrame, template: Template | None = N
                 ["conv_id", "turn_no", "segments", "in_order"],
             )
 
-    return _by_conversation(rows, "turn", "role", "text").mapInArrow(render, FORMATTED_SCHEMA)
+    return arrow_map(_by_conversation(rows, "turn", "role", "text"), render, FORMATTED_SCHEMA)
 
 
 def formatted_digests(formatted: DataFrame, template: Template | None = None) -> DataFrame:
@@ -176,7 +178,7 @@ def formatted_digests(formatted: DataFrame, template: Template | None = None) ->
             yield _digests([close(current, state)])
 
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean"
-    return _by_conversation(rows, "turn_no").mapInArrow(read, schema)
+    return arrow_map(_by_conversation(rows, "turn_no"), read, schema)
 
 
 def _digests(rows: list[tuple]) -> pa.RecordBatch:

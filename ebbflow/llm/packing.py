@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ebbflow.llm.shared import slices, string_values, worker_encoder
+from ebbflow.llm.shared import arrow_map, slices, string_values, worker_encoder
 
 
 def decompose(n: int, max_length: int) -> list[int]:
@@ -76,9 +76,8 @@ def pack(
             yield pa.RecordBatch.from_arrays(out, ["doc_id", "start", "length", "doc_tokens", "bucket", "ids_crc32" if digest else "ids"])
 
     last = "ids_crc32 long" if digest else "ids array<int>"
-    pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        cut, f"doc_id long, start long, length long, doc_tokens long, bucket int, {last}"
-    )
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    pieces = arrow_map(texts, cut, f"doc_id long, start long, length long, doc_tokens long, bucket int, {last}", encodes=True)
     return pieces.select("*", F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ebbflow.llm.shared import binary_values, slices
+from ebbflow.llm.shared import arrow_map, binary_values, slices
 
 MAX_TRAINING_ROWS = 20_000
 _COMMON = frozenset(
@@ -87,7 +87,7 @@ def document_statistics(docs: DataFrame) -> DataFrame:
             features = pa.ListArray.from_arrays(pa.array(bounds), pa.array(values.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), features], ["doc_id", "target", "features"])
 
-    return docs.select(*kept).mapInArrow(describe, "doc_id long, target int, features array<double>")
+    return arrow_map(docs.select(*kept), describe, "doc_id long, target int, features array<double>")
 
 
 @dataclass(frozen=True)
@@ -206,7 +206,7 @@ def score(docs: DataFrame, model: GradientBoostedTrees, threshold: float = 0.7)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], ["doc_id", "score"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scored = texts.mapInArrow(rate, "doc_id long, score double")
+    scored = arrow_map(texts, rate, "doc_id long, score double")
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -222,4 +222,4 @@ def keep_good(docs: DataFrame, model: GradientBoostedTrees, threshold: float = 0
             good = model.score(_matrix(batch.column(at))) >= threshold
             yield batch.filter(pa.array(good))
 
-    return docs.mapInArrow(sift, docs.schema)
+    return arrow_map(docs, sift, docs.schema)

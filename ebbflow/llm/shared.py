@@ -6,6 +6,7 @@ U+0009-U+000D, which is exactly what ``bytes.split()`` yields on UTF-8.
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -13,7 +14,6 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -57,11 +57,58 @@ def string_values(column: pa.Array) -> list[str]:
     return ["" if value is None else value for value in column.to_pylist()]
 
 
-def slices(batches, rows: int = 512):
-    """Arrow batches cut into pieces of a few hundred rows, so a task holds little at a time."""
+def slices(batches, rows: int = 512, most_bytes: int = 1 << 21):
+    """Arrow batches cut into pieces of at most ``rows`` rows and, where there is more than one, ``most_bytes``: a task holds little at a time."""
     for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
+        waiting = [batch.slice(start, rows) for start in range(0, batch.num_rows, rows)][::-1]
+        while waiting:
+            piece = waiting.pop()
+            if piece.num_rows > 1 and piece.nbytes > most_bytes:
+                half = piece.num_rows // 2
+                waiting += [piece.slice(half), piece.slice(0, half)]
+            else:
+                yield piece
+
+
+#: What a Python worker keeps between tasks: one encoder at a time.
+_HELD: dict = {}
+#: Bytes of an Arrow batch between the JVM and a worker; Spark's own limit is larger.
+BATCH_BYTES = 8 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def held(key, make: Callable):
+    """``make()``, kept while this worker is asked for nothing else."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def _let_go() -> None:
+    """Gives freed memory back to the machine."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def arrow_map(df: DataFrame, work: Callable, schema, encodes: bool = False) -> DataFrame:
+    """``df.mapInArrow(work, schema)`` with batches of bounded bytes.
+
+    Workers live on between tasks; unless this work ``encodes``, what an
+    encoder kept is dropped first.
+    """
+    df.sparkSession.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+
+    def run(batches):
+        if not encodes:
+            _HELD.clear()
+        yield from work(batches)
+        if not encodes:
+            _let_go()
+
+    return df.mapInArrow(run, schema)
 
 
 class BoundedCache(dict):
@@ -184,15 +231,9 @@ def _byte_letters() -> dict[int, int]:
     return {b: b if b in plain else next(others) for b in range(256)}
 
 
-_ENCODERS: dict = {}
-
-
 def worker_encoder(path: str, drops_space: bool) -> PieceEncoder:
-    """One encoder for each Python worker and file, kept while the worker lives."""
-    key = (path, drops_space)
-    if key not in _ENCODERS:
-        _ENCODERS[key] = library_encoder(path, drops_space)
-    return _ENCODERS[key]
+    """One encoder for each Python worker, kept while it is the one in use."""
+    return held((path, drops_space), lambda: library_encoder(path, drops_space))
 
 
 def xxh64(seed: int = 42) -> Callable[[bytes], int]:
@@ -215,6 +256,6 @@ def mix64(values: np.ndarray) -> np.ndarray:
 
 
 __all__ = [
-    "WORD_PATTERN", "BoundedCache", "PieceEncoder", "StorageLevel", "binary_values", "cut_lineage", "ensure_checkpoint_dir",
+    "WORD_PATTERN", "BoundedCache", "PieceEncoder", "arrow_map", "binary_values", "cut_lineage", "ensure_checkpoint_dir", "held",
     "library_encoder", "mix64", "shuffle_width", "slices", "stored", "string_values", "worker_encoder", "xxh64",
 ]

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ebbflow.llm.components import components
-from ebbflow.llm.shared import binary_values, cut_lineage, slices, xxh64
+from ebbflow.llm.shared import arrow_map, binary_values, cut_lineage, slices, xxh64
 
 BITS = 64
 
@@ -60,7 +60,7 @@ def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.frombuffer(marks, dtype=">i8").astype(np.int64))], ["doc_id", "fp"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(mark, "doc_id long, fp long")
+    return arrow_map(texts, mark, "doc_id long, fp long")
 
 
 def _bits(fps: np.ndarray) -> np.ndarray:
@@ -83,7 +83,7 @@ def correlated_partitions(nodes: DataFrame, partitions: int) -> list[list[int]]:
         cells = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), pa.array(total.ravel()[cells])], ["cell", "n"])
 
-    rows = nodes.select("fp").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    rows = arrow_map(nodes.select("fp"), count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     both = np.zeros(BITS * BITS)
     both[rows.column("cell").to_numpy()] = rows.column("n").to_numpy()
     both = both.reshape(BITS, BITS)
@@ -188,7 +188,7 @@ def links(nodes: DataFrame, radius: int = 2, partitions: int = 4, most_candidate
                 [pa.array(np.full(len(at), k, dtype=np.int32)), pa.array(at.astype(np.int32)), pa.array(cells[k][at])], ["part", "value", "n"]
             )
 
-    rows = nodes.select("fp").mapInArrow(tally, "part int, value int, n long").groupBy("part", "value").agg(F.sum("n").alias("n")).toArrow()
+    rows = arrow_map(nodes.select("fp"), tally, "part int, value int, n long").groupBy("part", "value").agg(F.sum("n").alias("n")).toArrow()
     part, value, n = (rows.column(c).to_numpy() for c in ("part", "value", "n"))
     histogram = []
     for k, g in enumerate(groups):
@@ -236,7 +236,7 @@ def links(nodes: DataFrame, radius: int = 2, partitions: int = 4, most_candidate
                 add(keys.ravel().view(np.int64), np.repeat(fps[crowded], len(near)), 2)
             yield emit(key, side, out)
 
-    signed = cut_lineage(nodes.select("fp").mapInArrow(signatures, "key long, side int, fp long"))
+    signed = cut_lineage(arrow_map(nodes.select("fp"), signatures, "key long, side int, fp long"))
     index = signed.where("side = 0").select(F.col("key").alias("at"), F.col("fp").alias("b"))
     probes = signed.where("side = 1").select("key", F.col("fp").alias("a"))
     close = (F.col("key") == F.col("at")) & (F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)

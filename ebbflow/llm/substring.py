@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ebbflow.llm.shared import binary_values, ensure_checkpoint_dir, mix64, shuffle_width, slices, stored, xxh64
+from ebbflow.llm.shared import arrow_map, binary_values, ensure_checkpoint_dir, mix64, shuffle_width, slices, stored, xxh64
 
 BITMAP_BITS = 27
 RUN_SCHEMA = "part long, context long, did long, tag int, at int"
@@ -152,7 +152,7 @@ class FingerprintIndex:
                 yield from pa.Table.from_batches(held).sort_by("part").combine_chunks().to_batches()
 
         name = f"{self.path}/run-{uuid.uuid4().hex}"
-        _keyed(docs).mapInArrow(fingerprints, RUN_SCHEMA).write.option("compression", "zstd").parquet(name)
+        arrow_map(_keyed(docs), fingerprints, RUN_SCHEMA).write.option("compression", "zstd").parquet(name)
         self.runs.append(name)
         if len(self.runs) > self.most_runs:
             self.compact()
@@ -208,7 +208,7 @@ def repeated_positions(index: FingerprintIndex, texts: DataFrame) -> DataFrame:
             yield batch.filter(pa.array(_listed(recurs.value, batch.column(0).to_numpy())))
 
     # nearly all parts that occur once stay out of the shuffles; the joins below are exact
-    hits = entries.mapInArrow(recurring, RUN_SCHEMA)
+    hits = arrow_map(entries, recurring, RUN_SCHEMA)
     counted = stored(hits.groupBy("part", "context").agg(F.count("*").alias("n")))
     inside = counted.where("n > 1").select(F.col("part").alias("p"), F.col("context").alias("c"))
     whole = hits.join(inside, _equal(("part", "p"), ("context", "c")), "left_semi").select("did", "tag", (F.col("at") * 2).alias("mark"))
@@ -232,7 +232,7 @@ def repeated_positions(index: FingerprintIndex, texts: DataFrame) -> DataFrame:
                 ["w", "v", "did", "tag", "at"],
             )
 
-    single = stored(_keyed(texts).mapInArrow(windows, "w long, v long, did long, tag int, at int"))
+    single = stored(arrow_map(_keyed(texts), windows, "w long, v long, did long, tag int, at int"))
     twice = single.groupBy(F.col("w").alias("w2"), F.col("v").alias("v2")).agg(F.count("*").alias("n")).where("n > 1").select("w2", "v2")
     same = single.join(twice, _equal(("w", "w2"), ("v", "v2")), "left_semi").select("did", "tag", (F.col("at") * 2 + 1).alias("mark"))
     return whole.unionByName(same).groupBy("did", "tag").agg(F.collect_set("mark").alias("marks"))
@@ -289,9 +289,9 @@ def _cut(rows: DataFrame, marks: DataFrame, work, schema: T.StructType | str) ->
         for batch in batches:
             yield batch.filter(pa.array(_listed(bitmap.value, batch.column(len(kept) + 2).to_numpy())))
 
-    moved = keyed.mapInArrow(move, keyed.schema)
+    moved = arrow_map(keyed, move, keyed.schema)
     met = moved.join(marks, _equal(("did", "of_did"), ("tag", "of_tag")), "left").select(*kept, "marks")
-    return keyed.mapInArrow(stay, schema).unionByName(met.mapInArrow(work, schema))
+    return arrow_map(keyed, stay, schema).unionByName(arrow_map(met, work, schema))
 
 
 def repeat_digests(

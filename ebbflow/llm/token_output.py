@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ebbflow.llm.shared import shuffle_width, slices, string_values, worker_encoder
+from ebbflow.llm.shared import arrow_map, shuffle_width, slices, string_values, worker_encoder
 
 FILE_SCHEMA = "part int, doc_id long, part_start long, n_tokens int, ids array<int>"
 ORC_OPTIONS = {
@@ -72,7 +72,7 @@ def write_token_files(
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     ranged = rows.repartitionByRange(files or shuffle_width(docs.sparkSession), *order).sortWithinPartitions(*order)
-    encoded = ranged.mapInArrow(_encoder(tokenizer_path, end_id, drops_space), FILE_SCHEMA)
+    encoded = arrow_map(ranged, _encoder(tokenizer_path, end_id, drops_space), FILE_SCHEMA, encodes=True)
     encoded.write.mode("errorifexists").options(**ORC_OPTIONS).orc(path)
 
 
@@ -111,4 +111,4 @@ def token_digests(spark: SparkSession, path: str) -> DataFrame:
                 ["doc_id", "start", "n_tokens", "ids_crc32"],
             )
 
-    return read_token_files(spark, path).mapInArrow(digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return arrow_map(read_token_files(spark, path), digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
