@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ebbflow.llm.shared import slices, string_values, worker_encoder
+from ebbflow.llm.shared import arrow_map, slices, stored, string_values, worker_encoder
 
 BUCKET = 256
 
@@ -45,7 +45,7 @@ def length_histogram(docs: DataFrame, tokenizer_path: str, by: str = "lang", dro
             )
 
     rows = docs.select(F.col(by).cast("string").alias("group"), F.col("text").cast("string").alias("text"))
-    counted = rows.mapInArrow(count, "group string, n_tokens long, n_docs long")
+    counted = arrow_map(rows, count, "group string, n_tokens long, n_docs long", encodes=True)
     return counted.groupBy("group", "n_tokens").agg(F.sum("n_docs").alias("n_docs"))
 
 
@@ -57,7 +57,8 @@ def suffix_sums(histogram: DataFrame) -> DataFrame:
     ``group_tokens`` and ``truncated_tokens`` (ids left if every document is cut
     at L).
     """
-    cells = histogram.select("group", "n_tokens", "n_docs").withColumns(
+    # read twice below, and making it encodes all texts
+    cells = stored(histogram.select("group", "n_tokens", "n_docs")).withColumns(
         {"tokens": F.col("n_tokens") * F.col("n_docs"), "cell": F.floor(F.col("n_tokens") / BUCKET)}
     )
     whole = Window.partitionBy("group")
