@@ -287,9 +287,10 @@ class PageHinkley(SteppedDetector):
 class ADWIN(Detector):
     """A window of all values since the last change, cut wherever two parts of it differ by more than chance.
 
-    Exact: every admissible cut of the whole window is judged at every row. The
-    scan first bounds whole stretches of cuts by the least and greatest prefix
-    sums in them and looks closer only where a cut is possible at all.
+    Exact: the first admissible cut of the whole window is found at every row.
+    Most rows need no scan, since one value can move no cut far enough. A scan
+    first bounds whole stretches of cuts by the least and greatest prefix sums in
+    them and looks closer only where a cut is possible at all.
     """
 
     state_ddl = "n bigint, window array<double>, status int, drifts bigint"
@@ -328,29 +329,48 @@ class ADWIN(Detector):
         return found
 
     def _first_cut(self, window: _Window, least: int) -> int:
-        """Length of the shortest prefix that differs from the rest, or 0."""
+        """Length of the shortest prefix that differs from the rest, or 0.
+
+        With ``g = |prefix - i * mean|`` a cut at i needs ``g > a * sqrt(i (n - i) / n) + b``.
+        One more value moves g by at most ``n`` times the change of the mean,
+        and the right side falls only as a and b do, so after a scan without a
+        cut the least distance between the two sides tells how long none is
+        possible; until then only the cut that has become admissible is judged.
+        """
         n = window.width
         log_term = math.log(2 * math.log(max(n, 2)) / self.delta)
         variance = window.m2 / (n - 1) if n > 1 else 0.0
-        a, b = math.sqrt(2 * max(variance, 0.0) * log_term), 2 / 3 * log_term
-        mean = window.total / n
+        a, b, mean = math.sqrt(2 * max(variance, 0.0) * log_term), 2 / 3 * log_term, window.total / n
+        if window.slack > 0:
+            old_a, old_b, old_mean = window.judged
+            spent = n * abs(mean - old_mean) + max(0.0, old_a - a) * math.sqrt(n) / 2 + max(0.0, old_b - b)
+            window.slack -= spent * (1 + 1e-9) + 1e-12 * abs(window.total)
+            window.judged = a, b, mean
+            i = n - least
+            g, need = abs(float(window.sums[i]) - i * mean), a * math.sqrt(i * least / n) + b
+            window.slack = min(window.slack, need - g)
+            if window.slack > 0:
+                return 0
+        window.judged, window.slack = (a, b, mean), math.inf
         if n <= 4 * self.STRETCH:
             return self._scan(window, least, n - least, a, b, mean)
-        # |prefix - i * mean| is what a cut at i, times i (n - i) / n, amounts to
         blocks = window.extremes(self.STRETCH)
         begins = np.arange(len(blocks)) * self.STRETCH + 1
         ends = begins + self.STRETCH - 1
         # extremes are of prefix - i * m0 for the mean at the time; the slope since then bounds the rest
         slope = blocks[:, 2] - mean
         high = np.maximum(blocks[:, 1] + np.maximum(slope * begins, slope * ends), -(blocks[:, 0] + np.minimum(slope * begins, slope * ends)))
+        high = high * (1 + 1e-9) + 1e-9 * abs(window.total)
         room = np.minimum(begins * (n - begins), np.maximum(ends * (n - ends), 0)) / n
-        possible = high * (1 + 1e-9) + 1e-9 * abs(window.total) >= a * np.sqrt(room) + b
-        full = len(blocks) * self.STRETCH
-        for k in np.flatnonzero(possible).tolist():
+        spare = a * np.sqrt(room) + b - high
+        safe = spare > 0
+        if safe.any():
+            window.slack = float(spare[safe].min())
+        for k in np.flatnonzero(~safe).tolist():
             at = self._scan(window, max(least, int(begins[k])), min(n - least, int(ends[k])), a, b, mean)
             if at:
                 return at
-        return self._scan(window, max(least, full + 1), n - least, a, b, mean)
+        return self._scan(window, max(least, len(blocks) * self.STRETCH + 1), n - least, a, b, mean)
 
     @staticmethod
     def _scan(window: _Window, first: int, last: int, a: float, b: float, mean: float) -> int:
@@ -361,7 +381,10 @@ class ADWIN(Detector):
         prefix = window.prefix(first, last)
         inverse = 1 / i + 1 / (n - i)
         over = np.abs(prefix / i - (window.total - prefix) / (n - i)) > a * np.sqrt(inverse) + b * inverse
-        return first + int(over.argmax()) if over.any() else 0
+        if over.any():
+            return first + int(over.argmax())
+        window.slack = min(window.slack, float((a / np.sqrt(inverse) + b - np.abs(prefix - i * mean)).min()))
+        return 0
 
     def dump(self, state):
         return {"n": state["n"], "window": state["w"].values().tolist(), "status": state["status"], "drifts": state["drifts"]}
@@ -386,6 +409,7 @@ class _Window:
         self.m2 = float(((values - self.total / self.width) ** 2).sum()) if self.width > 1 else 0.0
         self.blocks = np.zeros((64, 3))
         self.counted = 0
+        self.slack, self.judged = -1.0, (0.0, 0.0, 0.0)
 
     def push(self, value: float) -> None:
         if self.width == len(self.data):

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from operator import mul
 
 import numpy as np
 import pyarrow as pa
@@ -56,8 +57,8 @@ def _coefficients(sums: DataFrame, d: int, keep: list[str]) -> DataFrame:
     return rows.mapInArrow(work, schema).select("row.*", "coef")
 
 
-def _products(features: tuple[str, ...], target: str) -> dict[str, Column]:
-    """What is summed, by name. Rows with a null take no part."""
+def _products(features: tuple[str, ...], target: str) -> tuple[Column, dict[str, Column]]:
+    """Which rows take part (those without nulls), and what is summed, by name."""
     x = [F.col(f"`{f}`").cast("double") for f in features]
     y = F.col(f"`{target}`").cast("double")
     known = y.isNotNull() & ~F.isnan(y)
@@ -67,7 +68,7 @@ def _products(features: tuple[str, ...], target: str) -> dict[str, Column]:
     parts |= {f"sx{i}": v for i, v in enumerate(x)}
     parts |= {f"sxy{i}": v * y for i, v in enumerate(x)}
     parts |= {f"sxx{i}_{j}": x[i] * x[j] for i in range(len(x)) for j in range(i, len(x))}
-    return {name: F.when(known, value) for name, value in parts.items()}
+    return known, parts
 
 
 def _packed(d: int) -> list[Column]:
@@ -89,8 +90,8 @@ class Regression:
         if target is None:
             raise ValueError("Regression needs a target")
         at = Layout.of(df, features, target, None, key, ordered=False, exclude=exclude)
-        parts = _products(at.features, target)
-        sums = df.groupBy(*[F.col(f"`{k}`") for k in at.key]).agg(*[(F.count(v) if name == "n" else F.sum(v)).alias(name) for name, v in parts.items()])
+        known, parts = _products(at.features, target)
+        sums = df.where(known).groupBy(*[F.col(f"`{k}`") for k in at.key]).agg(*[(F.count(v) if name == "n" else F.sum(v)).alias(name) for name, v in parts.items()])
         return FittedRegression(at, sums.select(*[F.col(f"`{k}`") for k in at.key], *_packed(len(at.features))))
 
     def prefix(self, df: DataFrame, features: Names, target: str, order_by: Names, key: Names = None, inclusive: bool = False) -> DataFrame:
@@ -99,8 +100,8 @@ class Regression:
         Without a solution ``coef`` is null and ``y_pred`` 0.
         """
         at = Layout.of(df, features, target, order_by, key)
-        parts = _products(at.features, target)
-        run = prefix(df, {f"__{name}": ("count" if name == "n" else "sum", value) for name, value in parts.items()}, at.order_by, at.key, inclusive)
+        known, parts = _products(at.features, target)
+        run = prefix(df, {f"__{name}": ("count" if name == "n" else "sum", F.when(known, value)) for name, value in parts.items()}, at.order_by, at.key, inclusive)
         named = run.select(*[F.col(f"`{c}`") for c in df.columns], *[F.col(f"__{name}").alias(name) for name in parts]) if not set(parts) & set(df.columns) else None
         if named is None:
             raise ValueError(f"columns may not be called {sorted(set(parts) & set(df.columns))}")
@@ -209,32 +210,25 @@ class Perceptron(_Binary):
         return ops.let({"z": ops.dot(state["w"], x) + state["b"], "t": label}, moved)
 
     def run(self, state, x, y, emit):
-        """The same steps; between two mistakes the weights stand still, so whole stretches are judged at once."""
+        """The same steps in one plain loop: products are summed in the same order."""
         self._ready(state, x.shape[1])
-        w, b, positive = np.array(state["w"]), state["b"], y > 0
-        sign = np.where(positive, 1.0, -1.0)
+        w, b, eta = list(state["w"]), state["b"], self.eta
         predicted = np.zeros(len(x), dtype=np.int64)
-        at, n, stretch = 0, len(x), 16
-        while at < n:
-            end = min(n, at + stretch)
-            z = np.einsum("ij,j->i", x[at:end], w) + b
-            wrong = (z >= 0) != positive[at:end]
-            first = int(wrong.argmax()) if wrong.any() else -1
-            stop = end if first < 0 else at + first + 1
-            predicted[at:stop] = z[: stop - at] >= 0
-            if first >= 0:
-                w = w + self.eta * sign[at + first] * x[at + first]
-                b = b + self.eta * sign[at + first]
-                stretch = max(8, min(stretch, 2 * first + 8))
-            else:
-                stretch = min(4096, stretch * 2)
-            at = stop
+        for i, (row, label) in enumerate(zip(x.tolist(), y.tolist(), strict=True)):
+            if sum(map(mul, w, row)) + b >= 0:
+                predicted[i] = 1
+                if label <= 0:
+                    w = [v - eta * f for v, f in zip(w, row)]  # noqa: B905
+                    b -= eta
+            elif label > 0:
+                w = [v + eta * f for v, f in zip(w, row)]  # noqa: B905
+                b += eta
         before = state["n"]
-        state["w"], state["b"], state["n"] = w.tolist(), float(b), before + n
+        state["w"], state["b"], state["n"] = w, float(b), before + len(x)
         if not emit:
             return {}
         proba = predicted.astype(np.float64)
-        if not before and n:
+        if not before and len(x):
             predicted[0], proba[0] = 0, 0.5
         return {"y_pred": predicted, "proba": proba}
 
@@ -321,50 +315,54 @@ class LogisticRegression(_Binary):
         return ops.let({"e": ops.sigmoid(ops.dot(state["w"], x) + state["b"]) - label}, gradient)
 
     def run(self, state, x, y, emit):
-        """The same steps on numpy vectors; Adam, the default, has its own inner loop."""
-        if type(self.optimizer) is not Adam:
+        """The same steps; Adam without L1 and L2, the default, has its own loop."""
+        if type(self.optimizer) is not Adam or self.l1 or self.l2:
             return Stepped.run(self, state, x, y, emit)
         self._ready(state, x.shape[1])
-        d, rule = x.shape[1], self.optimizer
-        w = np.array([*state["w"], state["b"]])
-        m, v = np.array(state["slot_m"]), np.array(state["slot_v"])
+        d, n, rule, z_out = x.shape[1], state["n"], self.optimizer, np.zeros(len(x))
+        adam = self._adam_lists if d <= 32 else self._adam_arrays
+        w, m, v = adam([*state["w"], state["b"]], state["slot_m"], state["slot_v"], x, (y > 0).astype(np.float64).tolist(), rule, n, z_out)
+        state.update(w=w[:d], b=w[d], n=n + len(x), slot_m=m, slot_v=v)
+        if not emit:
+            return {}
+        predicted, proba = (z_out >= 0).astype(np.int64), 1 / (1 + np.exp(-z_out))
+        if not n and len(x):
+            predicted[0], proba[0] = 0, 0.5
+        return {"y_pred": predicted, "proba": proba}
+
+    @staticmethod
+    def _adam_lists(w, m, v, x, labels, rule, n, z_out):
+        b1, b2, eta = rule.beta1, rule.beta2, rule.eta
+        p1, p2, exp, sqrt = b1**n, b2**n, math.exp, math.sqrt
+        for i, (row, label) in enumerate(zip(x.tolist(), labels, strict=True)):
+            row.append(1.0)
+            z = sum(map(mul, w, row))
+            z_out[i] = z
+            e = (1.0 / (1.0 + exp(-z)) if z > -700 else 0.0) - label
+            p1 *= b1
+            p2 *= b2
+            first, second, unbias, rate = (1 - b1) * e, (1 - b2) * e * e, 1 / (1 - p2), eta / (1 - p1)
+            m = [b1 * a + first * f for a, f in zip(m, row)]  # noqa: B905
+            v = [b2 * a + second * f * f for a, f in zip(v, row)]  # noqa: B905
+            w = [a - rate * p / (sqrt(q * unbias) + 1e-8) for a, p, q in zip(w, m, v)]  # noqa: B905
+        return w, m, v
+
+    @staticmethod
+    def _adam_arrays(w, m, v, x, labels, rule, n, z_out):
+        b1, b2, eta = rule.beta1, rule.beta2, rule.eta
+        w, m, v, p1, p2 = np.array(w), np.array(m), np.array(v), b1**n, b2**n
         rows = np.concatenate((x, np.ones((len(x), 1))), axis=1)
-        labels, n = (y > 0).astype(np.float64).tolist(), state["n"]
-        b1, b2, eta, sqrt = rule.beta1, rule.beta2, rule.eta, np.sqrt
-        z_out = np.zeros(len(x))
-        regular = np.zeros(d + 1) if not (self.l1 or self.l2) else None
-        g, q = np.empty(d + 1), np.empty(d + 1)
-        p1, p2 = b1**n, b2**n
         for i, label in enumerate(labels):
             row = rows[i]
             z = float(row.dot(w))
             z_out[i] = z
-            e = (1.0 / (1.0 + math.exp(-z)) if z > -700 else 0.0) - label
-            np.multiply(row, e, out=g)
-            if regular is None:
-                g[:d] += self.l1 * np.sign(w[:d]) + self.l2 * w[:d]
+            g = row * ((1.0 / (1.0 + math.exp(-z)) if z > -700 else 0.0) - label)
             p1 *= b1
             p2 *= b2
-            m *= b1
-            np.multiply(g, 1 - b1, out=q)
-            m += q
-            np.multiply(g, g, out=g)
-            g *= 1 - b2
-            v *= b2
-            v += g
-            np.multiply(v, 1 / (1 - p2), out=q)
-            sqrt(q, out=q)
-            q += 1e-8
-            np.divide(m, q, out=q)
-            q *= eta / (1 - p1)
-            w -= q
-        state.update(w=w[:d].tolist(), b=float(w[d]), n=n + len(x), slot_m=m.tolist(), slot_v=v.tolist())
-        if not emit:
-            return {}
-        predicted, proba = (z_out >= 0).astype(np.int64), 1 / (1 + np.exp(-z_out))
-        if not n and len(x):
-            predicted[0], proba[0] = 0, 0.5
-        return {"y_pred": predicted, "proba": proba}
+            m = b1 * m + (1 - b1) * g
+            v = b2 * v + (1 - b2) * g * g
+            w = w - eta / (1 - p1) * m / (np.sqrt(v / (1 - p2)) + 1e-8)
+        return w.tolist(), m.tolist(), v.tolist()
 
 
 def proba_map(proba: str = "proba") -> Column:

@@ -84,7 +84,7 @@ def _full(values, valid: np.ndarray):
 
 
 def fold_batches(batches: Iterable[pa.RecordBatch], op: Fold, d: int, n_keys: int, mode: str, spare: bool, out_schema: T.StructType) -> Iterator[pa.RecordBatch]:
-    """Columns: keys, ``__kind``, ``__row``, ``__x``, ``__y`` and, with ``spare``, ``__spare``, then ``__state``.
+    """Columns: keys, ``__kind``, ``__row``, ``__x``, ``__y`` and, with ``spare``, ``__spare``, then, with states to start from, ``__state``.
 
     ``mode``: ``fit`` emits a state for each key, ``run`` outputs for each row,
     ``apply`` predictions. Spare rows are learned and leave no output.
@@ -162,9 +162,11 @@ def fold(
     target = F.col(f"`{layout.target}`").cast("double") if layout.target else F.lit(0.0)
     columns = [F.col(f"`{k}`").alias(f"__k{i}") for i, k in enumerate(keys)]
     orders = [F.col(f"`{o}`").alias(f"__o{i}") for i, o in enumerate(layout.order_by)] if mode != "apply" else []
+    # only rows that come out again go through the shuffle whole
+    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns if c != spare]) if mode != "fit" else F.lit(None).cast("int")
     data = df.select(
-        *columns, F.lit(1).alias("__kind"), F.struct(*[F.col(f"`{c}`") for c in df.columns if c != spare]).alias("__row"), vector([F.col(f"`{f}`") for f in layout.features]).alias("__x"),
-        target.alias("__y"), *([F.col(f"`{spare}`").alias("__spare")] if spare else []), F.lit(None).cast(state_type).alias("__state"), *orders,
+        *columns, F.lit(1).alias("__kind"), whole.alias("__row"), vector([F.col(f"`{f}`") for f in layout.features]).alias("__x"),
+        target.alias("__y"), *([F.col(f"`{spare}`").alias("__spare")] if spare else []), *([F.lit(None).cast(state_type).alias("__state")] if state is not None else []), *orders,
     )
     if state is not None:
         held = F.struct(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in state_type.fields])

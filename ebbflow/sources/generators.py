@@ -8,7 +8,9 @@ streaming rate source; ``frame`` gives ``seq, x, y`` for rows 1 to n.
 
 from __future__ import annotations
 
+import operator
 from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,7 +34,9 @@ class Generator:
 
     def wide(self, spark: SparkSession, n: int, d: int) -> DataFrame:
         """``seq, x0, x1, ..., y``."""
-        return self.frame(spark, n).select("seq", *[F.get("x", F.lit(i)).alias(f"x{i}") for i in range(d)], "y")
+        rows = spark.range(1, 1 + n).select(F.col("id").alias("seq"))
+        x, y = self.columns(F.col("seq"))
+        return rows.select("seq", *[F.get(x, F.lit(i)).alias(f"x{i}") for i in range(d)], y.alias("y"))
 
 
 @dataclass(frozen=True)
@@ -66,16 +70,25 @@ class RandomRBFGenerator(Generator):
         weights = rng.random(self.n_centroids)
         return places, classes, np.cumsum(weights / weights.sum())
 
+    def _chosen(self, seq: Column) -> Column:
+        """Number of a row's centroid, from 0."""
+        u = uniform(self.seed, seq, -1)
+        return reduce(operator.add, [(u >= float(v)).cast("int") for v in self.centroids()[2][:-1]], F.lit(0))
+
+    def _around(self, seq: Column, chosen: Column) -> tuple[list[Column], Column]:
+        places, classes, _ = self.centroids()
+        pick = lambda values: F.get(F.array(*[F.lit(v) for v in values]), chosen)
+        return [pick(map(float, places[:, j])) + 0.1 * normal(self.seed, seq, j) for j in range(self.n_features)], pick(map(int, classes))
+
     def columns(self, seq):
-        return self._from(seq, *self.centroids())
-
-    def _from(self, seq, places, classes, upto):
-        bounds = F.array(*[F.lit(float(u)) for u in upto[:-1]])
-        entries = F.array(*[F.struct(F.array(*[F.lit(float(v)) for v in p]).alias("p"), F.lit(int(c)).alias("c")) for p, c in zip(places, classes, strict=True)])
-        chosen = F.get(entries, F.size(F.filter(bounds, lambda b: b <= uniform(self.seed, seq, -1))))
-        noise = F.array(*[normal(self.seed, seq, j) for j in range(self.n_features)])
-        x = F.zip_with(chosen["p"], noise, lambda p, e: p + 0.1 * e)
-        return x, chosen["c"]
+        x, y = self._around(seq, self._chosen(seq))
+        return F.array(*x), y
+
+    def wide(self, spark, n, d):
+        """As two projections: one compiled method for all would be too long to be optimised."""
+        rows = spark.range(1, 1 + n).select(F.col("id").alias("seq")).select("seq", self._chosen(F.col("seq")).alias("chosen"))
+        x, y = self._around(F.col("seq"), F.col("chosen"))
+        return rows.select("seq", *[v.alias(f"x{i}") for i, v in enumerate(x[:d])], y.alias("y"))
 
 
 @dataclass(frozen=True)

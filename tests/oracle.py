@@ -33,6 +33,6 @@ def rows_of(frame) -> tuple[list[str], list[tuple]]:
 
 
 def sql_rows(con, sql: str) -> tuple[list[str], list[tuple]]:
-    table = con.execute(sql).to_arrow_table()
+    table = con.sql(sql).to_arrow_table()
     columns = sorted(table.column_names)
     return columns, sorted((tuple(map(normal, row)) for row in zip(*[table.column(c).to_pylist() for c in columns], strict=True)), key=repr)

@@ -124,6 +124,16 @@ def test_rules_lower_the_loss_and_run_natively(spark, rule):
     assert native["w"] == pytest.approx(python["w"], rel=1e-9) and native["b"] == pytest.approx(python["b"], rel=1e-9) and native["n"] == 80
 
 
+def test_adam_on_wide_rows_equals_steps():
+    x = rng.standard_normal((80, 40))
+    y = (x[:, 0] > 0).astype(float)
+    op = LogisticRegression()
+    slow, fast = op.initial(), op.initial()
+    Stepped.run(op, slow, x, y, False)
+    op.run(fast, x, y, False)
+    same_state(fast, slow)
+
+
 def test_adam_first_step_is_eta():
     """The first step of Adam is eta in the direction of the gradient, whatever its size."""
     op = LogisticRegression(O.Adam(0.01))
