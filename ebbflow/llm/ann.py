@@ -31,8 +31,8 @@ QUERY_BLOCK = 2048
 ROW_BLOCK = 4096
 #: A beam step holds rows x beam x codewords numbers: 8 MB for so many rows.
 ENCODE_ROWS = 512
-#: Least squares solves for codebooks x codewords unknowns on the driver: 2,048 of them take 34 MB a matrix.
-CODEBOOKS = 8
+#: Least squares solves for codebooks x codewords unknowns on the driver: 3,072 of them take 75 MB a matrix.
+CODEBOOKS = 12
 
 
 def _unit(values: np.ndarray) -> np.ndarray:
@@ -181,7 +181,7 @@ def build_index(vectors: DataFrame, sample_rows: int = SAMPLE_ROWS, codebooks: i
 RESULT_SCHEMA = "query_id long, vec_id long, score double"
 
 
-def search(model: Codebooks, index: DataFrame, queries: DataFrame, k: int = 5, rerank: int = 128, block: int = QUERY_BLOCK) -> DataFrame:
+def search(model: Codebooks, index: DataFrame, queries: DataFrame, k: int = 5, rerank: int = 192, block: int = QUERY_BLOCK) -> DataFrame:
     """``query_id, rank, vec_id, score``: for each row of ``queries(vec_id, embedding)`` its ``k`` nearest of the index.
 
     Candidates are all rows of another id. Of each block of rows the
