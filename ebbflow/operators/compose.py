@@ -5,11 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ebbflow.operators.base import Sequential, Stepped
+from ebbflow.operators.base import Sequential
 from ebbflow.operators.drift import DRIFT, WARNING, Detector
 from ebbflow.operators.transform import FittedScaler, Scaler
 from ebbflow.plans.fold import struct_of
@@ -45,9 +44,6 @@ class OnlinePipeline(Sequential):
         kinds = [f"scaler_{i} {_SCALER_DDL[type(s).__name__]}" for i, s in enumerate(self.scalers)]
         self.state_ddl = ", ".join(["n bigint", *kinds, f"learner {struct_ddl(self.learner.state_ddl)}"])
 
-    def then(self, step: Scaler | Sequential) -> OnlinePipeline:
-        return OnlinePipeline(*self.scalers, self.learner, step)
-
     @property
     def components(self) -> list:
         return [*self.scalers, self.learner]
@@ -88,8 +84,14 @@ class OnlinePipeline(Sequential):
         return {"n": row["n"], "scalers": [dict(row[f"scaler_{i}"]) for i in range(len(self.scalers))], "learner": self.learner.load(row["learner"])}
 
 
-def pipeline(*steps: Scaler | Sequential) -> OnlinePipeline:
-    return OnlinePipeline(*steps)
+@dataclass(frozen=True)
+class Steps:
+    """Scalers that wait for a learner: ``StandardScaler() >> MinMaxScaler() >> Perceptron()``."""
+
+    scalers: tuple[Scaler, ...]
+
+    def __rshift__(self, step: Scaler | Sequential) -> Steps | OnlinePipeline:
+        return OnlinePipeline(*self.scalers, step) if isinstance(step, Sequential) else Steps((*self.scalers, step))
 
 
 class DriftRetrainingWrapper(Sequential):
@@ -189,6 +191,9 @@ class ColumnTransformer:
 class FeatureUnion(ColumnTransformer):
     """Several scalers of the same columns, side by side."""
 
+    def __add__(self, other: Scaler) -> FeatureUnion:
+        return FeatureUnion(*[op for _, op, _ in self.parts], other)
+
     def __init__(self, *ops: Scaler):
         super().__init__([(f"{type(op).__name__}_{i}", op, "all") for i, op in enumerate(ops)])
 
@@ -206,4 +211,4 @@ class FittedColumns:
         return out.select(*[F.col(f"`{c}`") for c in df.columns], F.array(*values).alias(name))
 
 
-__all__ = ["ColumnTransformer", "DriftRetrainingWrapper", "FeatureUnion", "FittedColumns", "OnlinePipeline", "Stepped", "np", "pipeline", "struct_ddl"]
+__all__ = ["ColumnTransformer", "DriftRetrainingWrapper", "FeatureUnion", "FittedColumns", "OnlinePipeline", "Steps", "struct_ddl"]

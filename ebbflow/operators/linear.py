@@ -32,9 +32,8 @@ def _solve(gram: np.ndarray, moment: np.ndarray) -> np.ndarray | None:
     return np.linalg.solve(gram, moment)
 
 
-def _coefficients(sums: DataFrame, d: int, keep: list[str]) -> DataFrame:
-    """Adds ``coef``: intercept first, null where the system is singular. ``sums`` has ``n, sx, sy, sxx, sxy``."""
-    rows = sums.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), "n", "sx", "sy", "sxx", "sxy")
+def _coefficients(rows: DataFrame, d: int) -> DataFrame:
+    """The fields of ``row`` and ``coef``: intercept first, null where the system is singular. ``rows`` has ``row, n, sx, sy, sxx, sxy``."""
     schema = T.StructType([rows.schema["row"], T.StructField("coef", T.ArrayType(T.DoubleType()))])
     upper = np.triu_indices(d)
 
@@ -71,10 +70,11 @@ def _products(features: tuple[str, ...], target: str) -> tuple[Column, dict[str,
     return known, parts
 
 
-def _packed(d: int) -> list[Column]:
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+def _packed(d: int, mark: str = "") -> list[Column]:
+    """``n, sx, sy, sxx, sxy`` from single sums, whose names begin with ``mark``."""
+    zero = lambda c: F.coalesce(F.col(mark + c), F.lit(0.0))
     return [
-        F.col("n").cast("long").alias("n"), F.array(*[zero(f"sx{i}") for i in range(d)]).alias("sx"), zero("sy").alias("sy"),
+        F.col(f"{mark}n").cast("long").alias("n"), F.array(*[zero(f"sx{i}") for i in range(d)]).alias("sx"), zero("sy").alias("sy"),
         F.array(*[zero(f"sxx{i}_{j}") for i in range(d) for j in range(i, d)]).alias("sxx"), F.array(*[zero(f"sxy{i}") for i in range(d)]).alias("sxy"),
     ]
 
@@ -102,14 +102,15 @@ class Regression:
         at = Layout.of(df, features, target, order_by, key)
         known, parts = _products(at.features, target)
         run = prefix(df, {f"__{name}": ("count" if name == "n" else "sum", F.when(known, value)) for name, value in parts.items()}, at.order_by, at.key, inclusive)
-        named = run.select(*[F.col(f"`{c}`") for c in df.columns], *[F.col(f"__{name}").alias(name) for name in parts]) if not set(parts) & set(df.columns) else None
-        if named is None:
-            raise ValueError(f"columns may not be called {sorted(set(parts) & set(df.columns))}")
         d = len(at.features)
-        solved = _coefficients(named.select(*[F.col(f"`{c}`") for c in df.columns], *_packed(d)), d, df.columns)
+        solved = _coefficients(run.select(_row(df.columns), *_packed(d, "__")), d)
         return solved.select("*", _predicted(at.features).alias("y_pred"))
 
 
+def _row(columns: list[str]) -> Column:
+    return F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")
+
+
 def _predicted(features: tuple[str, ...]) -> Column:
     coef = F.col("coef")
     return F.when(coef.isNull(), 0.0).otherwise(F.get(coef, F.lit(0)) + dot(F.slice(coef, 2, len(features)), vector([F.col(f"`{f}`") for f in features])))
@@ -134,7 +135,7 @@ class FittedRegression:
 
     def coefficients(self) -> DataFrame:
         """Key columns, ``n`` and ``coef`` (intercept first; null if singular)."""
-        return _coefficients(self.state, len(self.layout.features), [*self.layout.key, "n"])
+        return _coefficients(self.state.select(_row([*self.layout.key, "n"]), "n", "sx", "sy", "sxx", "sxy"), len(self.layout.features))
 
     coef = weights = coefficients
 

@@ -54,6 +54,18 @@ class Scaler:
     def pivot(self, df: DataFrame, features: tuple[str, ...]) -> list[float]:
         return [0.0] * len(features)
 
+    def __rshift__(self, step):
+        """This scaler, then another or a learner."""
+        from ebbflow.operators.compose import Steps
+
+        return Steps((self,)) >> step
+
+    def __add__(self, other: Scaler):
+        """The outputs of both, side by side."""
+        from ebbflow.operators.compose import FeatureUnion
+
+        return FeatureUnion(self, other)
+
     def fit(self, df: DataFrame, features: Names = None, key: Names = None, *, exclude: Names = None) -> FittedScaler:
         at = Layout.of(df, features, None, None, key, ordered=False, exclude=exclude)
         columns = [F.col(f"`{f}`").cast("double") for f in at.features]

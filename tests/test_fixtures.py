@@ -279,8 +279,13 @@ def test_composition(spark):
     op = ColumnTransformer([("one", StandardScaler(), "a"), ("two", MinMaxScaler(), "b")])
     assert op.fit(mixed, ["a", "b"]).transform(mixed).where("seq = 3").first()["features"] == pytest.approx([1.0, 1.0])
     assert op.fit_transform(mixed, ["a", "b"], "seq").where("seq = 1").first()["features"] == [0.0, 0.0]
-    pipe = OnlinePipeline(StandardScaler(), Perceptron())
-    assert pipe.n_components == 2 and pipe.then is not None
+    assert OnlinePipeline(StandardScaler(), Perceptron()).n_components == 2
+    pipe = StandardScaler() >> MaxAbsScaler() >> Perceptron()
+    assert isinstance(pipe, OnlinePipeline) and [type(c) for c in pipe.components] == [StandardScaler, MaxAbsScaler, Perceptron]
+    union = StandardScaler() + MinMaxScaler() + MaxAbsScaler()
+    assert len(union.fit(rows, ["a", "b"]).transform(rows).first()["features"]) == 6
+    with pytest.raises(ValueError):
+        OnlinePipeline(Perceptron(), StandardScaler())
 
 
 def test_bagging_ignores_members_without_probabilities(spark):
