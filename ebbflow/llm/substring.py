@@ -233,7 +233,8 @@ def repeated_positions(index: FingerprintIndex, texts: DataFrame) -> DataFrame:
             )
 
     single = stored(arrow_map(_keyed(texts), windows, "w long, v long, did long, tag int, at int"))
-    twice = single.groupBy(F.col("w").alias("w2"), F.col("v").alias("v2")).agg(F.count("*").alias("n")).where("n > 1").select("w2", "v2")
+    # stored: Spark splits a skewed join only where both sides are plain exchanges
+    twice = stored(single.groupBy(F.col("w").alias("w2"), F.col("v").alias("v2")).agg(F.count("*").alias("n")).where("n > 1").select("w2", "v2"))
     same = single.join(twice, _equal(("w", "w2"), ("v", "v2")), "left_semi").select("did", "tag", (F.col("at") * 2 + 1).alias("mark"))
     return whole.unionByName(same).groupBy("did", "tag").agg(F.collect_set("mark").alias("marks"))
 
