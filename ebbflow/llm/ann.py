@@ -58,7 +58,7 @@ class Codebooks:
     """``words``: codebooks x codewords x dimensions."""
 
     words: np.ndarray
-    beam: int = 8
+    beam: int = 4
 
     @property
     def dimension(self) -> int:
@@ -113,7 +113,7 @@ class Codebooks:
         return total / np.maximum(norms, 1e-12)[:, None].astype(np.float32)
 
 
-def fit_codebooks(sample: np.ndarray, codebooks: int = CODEBOOKS, codewords: int = 256, rounds: int = 8, beam: int = 8, seed: int = 7) -> Codebooks:
+def fit_codebooks(sample: np.ndarray, codebooks: int = CODEBOOKS, codewords: int = 256, rounds: int = 8, beam: int = 4, seed: int = 7) -> Codebooks:
     """Residual k-means for each codebook in turn, then least squares for all codewords at once with the codes held."""
     units = _unit(np.asarray(sample, dtype=np.float64))
     rng = np.random.default_rng(seed)
@@ -151,7 +151,7 @@ def _vectors(column: pa.Array, d: int) -> np.ndarray:
     return np.asarray(column.flatten(), dtype=np.float64).reshape(-1, d)
 
 
-def build_index(vectors: DataFrame, sample_rows: int = SAMPLE_ROWS, codebooks: int = CODEBOOKS, beam: int = 8, **settings) -> tuple[Codebooks | None, DataFrame | None]:
+def build_index(vectors: DataFrame, sample_rows: int = SAMPLE_ROWS, codebooks: int = CODEBOOKS, beam: int = 4, **settings) -> tuple[Codebooks | None, DataFrame | None]:
     """Codebooks and the stored index ``vec_id, embedding, codes, norm`` of every usable row.
 
     The sample is the ``sample_rows`` usable vectors of the least hash of their
