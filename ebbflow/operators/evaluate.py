@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ebbflow.operators.metrics import Metric
 from ebbflow.plans.layout import Names, names
-from ebbflow.plans.windows import row_numbers
+from ebbflow.plans.windows import Blocks, order_blocks, row_numbers
 
 
 @dataclass
@@ -21,9 +21,9 @@ class Scored:
     score: DataFrame
 
 
-def _asked(model, df: DataFrame, features: Names, target: str, order_by: Names, key: Names, n_samples: int | None) -> DataFrame:
+def _asked(model, df: DataFrame, features: Names, target: str, order_by: Names, key: Names, n_samples: int | None, blocks: Blocks) -> DataFrame:
     """Test-then-train rows, numbered from 1 in ``__i``; the first of a key is not scored, since nothing was learned before it."""
-    numbered = row_numbers(df, order_by, key, "__i")
+    numbered = row_numbers(df, order_by, key, "__i", blocks)
     if n_samples is not None:
         numbered = numbered.where(F.col("__i") <= n_samples)
     return model.prequential(numbered, features, target, order_by, key)
@@ -34,9 +34,10 @@ def progressive_val_score(model, df: DataFrame, metric: Metric, features: Names,
 
     The first row is learned and not scored. Without scored rows the score is NaN.
     """
-    asked = _asked(model, df, features, target, order_by, key, n_samples)
+    blocks = order_blocks(df, order_by)
+    asked = _asked(model, df, features, target, order_by, key, n_samples, blocks)
     scored = asked.where(F.col("__i") > 1)
-    run = metric.running(scored, order_by, key, "y_pred", target, "__value", count="__count")
+    run = metric.running(scored, order_by, key, "y_pred", target, "__value", count="__count", blocks=blocks)
     kept = [F.col(f"`{c}`") for c in (*names(key), *names(order_by))]
     trajectory = run.where(F.col("__count") > 0).select(*kept, F.col("__value").alias("value"))
     value = F.when(F.count(F.when(F.col("__i") > 1, 1)) > 0, _where(metric, target)).otherwise(float("nan"))
@@ -60,7 +61,7 @@ def holdout_score(model, df: DataFrame, metric: Metric, features: Names, target:
 
 def interleaved_test_then_train(model, df: DataFrame, metric: Metric, features: Names, target: str, order_by: Names, key: Names = None, n_samples: int | None = 1000, period: int = 100) -> Scored:
     """``progressive_val_score`` whose ``trajectory`` holds the metric of every ``period``-th row by itself."""
-    asked = _asked(model, df, features, target, order_by, key, n_samples)
+    asked = _asked(model, df, features, target, order_by, key, n_samples, order_blocks(df, order_by))
     scored = asked.where(F.col("__i") > 1)
     kept = [F.col(f"`{c}`") for c in (*names(key), *names(order_by))]
     single = metric.value({k: F.coalesce(v, F.lit(0.0)) for k, v in metric._known(F.col("y_pred"), F.col(f"`{target}`")).items()})

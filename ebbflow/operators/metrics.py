@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
 from ebbflow.plans.layout import Names, names
-from ebbflow.plans.windows import prefix, sliding
+from ebbflow.plans.windows import Blocks, prefix, sliding
 
 Over = Callable[[Column], Column]
 
@@ -49,10 +49,10 @@ class Metric:
         """One value, or one for each key."""
         return df.groupBy(*[F.col(f"`{k}`") for k in names(key)]).agg(self.aggregate(pred, label).alias(name))
 
-    def running(self, df: DataFrame, order_by: Names, key: Names = None, pred: str = "pred", label: str = "label", name: str = "value", count: str | None = None) -> DataFrame:
+    def running(self, df: DataFrame, order_by: Names, key: Names = None, pred: str = "pred", label: str = "label", name: str = "value", count: str | None = None, blocks: Blocks | None = None) -> DataFrame:
         """All columns of ``df`` and the metric of the rows up to each, with its count as ``count``; a key's rows may lie in many tasks."""
         parts = self._known(_col(pred), _col(label))
-        summed = prefix(df, {f"__m_{k}": ("sum", v) for k, v in parts.items()}, order_by, key)
+        summed = prefix(df, {f"__m_{k}": ("sum", v) for k, v in parts.items()}, order_by, key, blocks=blocks)
         sums = {k: F.coalesce(F.col(f"__m_{k}"), F.lit(0.0)) for k in parts}
         out = summed.withColumn(name, self.value(sums))
         if count:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ebbflow.operators.linear import with_state
 from ebbflow.plans.layout import Layout, Names, names
-from ebbflow.plans.windows import prefix, row_numbers
+from ebbflow.plans.windows import order_blocks, prefix, row_numbers
 
 Stat = Callable[[str], Column]
 
@@ -357,8 +357,9 @@ class TargetEncoder:
         """All columns of ``df`` and the encoding by the rows before each (or up to it)."""
         at = Layout.of(df, column, target, order_by, key)
         y = F.col(f"`{target}`").cast("double")
-        own = prefix(df, {"__n": ("count", y), "__t": ("sum", y)}, at.order_by, (*at.key, column), inclusive)
-        every = prefix(own, {"__an": ("count", y), "__at": ("sum", y)}, at.order_by, at.key, inclusive)
+        blocks = order_blocks(df, at.order_by)
+        own = prefix(df, {"__n": ("count", y), "__t": ("sum", y)}, at.order_by, (*at.key, column), inclusive, blocks)
+        every = prefix(own, {"__an": ("count", y), "__at": ("sum", y)}, at.order_by, at.key, inclusive, blocks)
         made = self._blend(F.col("__n"), F.col("__t"), F.col("__an"), F.col("__at"))
         return every.select(*[F.col(f"`{c}`") for c in df.columns], made.alias(name))
 
@@ -430,9 +431,10 @@ class ModeImputer:
         running count was reached, the one of earliest first sight of equals.
         """
         at = Layout.of(df, column, None, order_by, key)
-        numbered = row_numbers(df, at.order_by, at.key, "__rn")
+        blocks = order_blocks(df, at.order_by)
+        numbered = row_numbers(df, at.order_by, at.key, "__rn", blocks)
         value = F.col(f"`{column}`")
-        counted = prefix(numbered, {"__n": ("count", value), "__first": ("min", F.when(value.isNotNull(), F.col("__rn")))}, at.order_by, (*at.key, column))
+        counted = prefix(numbered, {"__n": ("count", value), "__first": ("min", F.when(value.isNotNull(), F.col("__rn")))}, at.order_by, (*at.key, column), blocks=blocks)
         mark = F.when(value.isNotNull(), F.struct(F.col("__n").alias("n"), (-F.col("__first")).alias("f"), value.alias("v")))
-        run = prefix(counted, {"__m": ("max", mark)}, at.order_by, at.key)
+        run = prefix(counted, {"__m": ("max", mark)}, at.order_by, at.key, blocks=blocks)
         return run.select(*[F.col(f"`{c}`") for c in df.columns], F.coalesce(value, F.col("__m.v")).alias(name))

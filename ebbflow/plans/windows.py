@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import operator
 from collections.abc import Mapping
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -27,31 +28,47 @@ def _columns(of: tuple[str, ...]) -> list[Column]:
     return [F.col(f"`{c}`") for c in of]
 
 
-def order_blocks(df: DataFrame, order_by: Names, blocks: int = BLOCKS) -> Column:
-    """Number of the block of a row: how many of ``blocks - 1`` bounds on the first order column lie below it.
+@dataclass(frozen=True)
+class Blocks:
+    """Bounds on the first order column, in its numeric form. They only balance the work: any bounds give the same results."""
 
-    The bounds are quantiles of the whole table (one pass, ``blocks`` numbers
-    for the driver). They only balance the work: any bounds give the same
-    results. Columns without a numeric form make one block.
+    first: str
+    kind: str
+    bounds: tuple[float, ...]
+
+    @staticmethod
+    def _number(first: str, kind: str) -> Column:
+        column = F.col(f"`{first}`")
+        return F.unix_micros(column.cast("timestamp")).cast("double") if kind.startswith("timestamp") or kind == "date" else column.cast("double")
+
+    def number(self) -> Column:
+        """Number of a row's block: how many bounds lie below it."""
+        if not self.bounds:
+            return F.lit(0)
+        value = self._number(self.first, self.kind)
+        # plain comparisons: compiled, and safe to infer filters from (a lambda would hide its column from the optimizer)
+        return F.coalesce(reduce(operator.add, [(value > b).cast("int") for b in self.bounds]), F.lit(0))
+
+
+_NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double", "date")
+
+
+def order_blocks(df: DataFrame, order_by: Names, blocks: int = BLOCKS) -> Blocks:
+    """Quantiles of the whole table (one pass, ``blocks`` numbers for the driver). Columns without a numeric form make one block.
+
+    Results that are built in several steps on one table take its blocks once
+    and hand them on.
     """
     first = names(order_by)[0]
     kind = dict(df.dtypes)[first]
-    if kind.startswith("timestamp") or kind == "date":
-        value = F.unix_micros(F.col(f"`{first}`").cast("timestamp")).cast("double")
-    elif kind.startswith(("decimal",)) or kind in ("tinyint", "smallint", "int", "bigint", "float", "double"):
-        value = F.col(f"`{first}`").cast("double")
-    else:
-        return F.lit(0)
+    if kind not in _NUMERIC and not kind.startswith(("timestamp", "decimal")):
+        return Blocks(first, kind, ())
     shares = [k / blocks for k in range(1, blocks)]
-    bounds = df.agg(F.percentile_approx(value, shares, 1000).alias("b")).first()["b"] or []
-    bounds = sorted(set(bounds))
-    if not bounds:
-        return F.lit(0)
-    # plain comparisons: compiled, and safe to infer filters from (a lambda would hide its column from the optimizer)
-    return F.coalesce(reduce(operator.add, [(value > b).cast("int") for b in bounds]), F.lit(0))
+    bounds = df.agg(F.percentile_approx(Blocks._number(first, kind), shares, 1000).alias("b")).first()["b"] or []
+    return Blocks(first, kind, tuple(sorted(set(bounds))))
 
 
-def prefix(df: DataFrame, sums: Mapping[str, tuple[str, Column]], order_by: Names, key: Names = None, inclusive: bool = True, blocks: int = BLOCKS) -> DataFrame:
+def prefix(df: DataFrame, sums: Mapping[str, tuple[str, Column]], order_by: Names, key: Names = None, inclusive: bool = True, blocks: Blocks | None = None) -> DataFrame:
     """``df`` with running aggregates of each row's key, over the rows up to it or, if not ``inclusive``, before it.
 
     ``sums`` maps a new column to (``sum``, ``count``, ``min`` or ``max``, and
@@ -60,7 +77,7 @@ def prefix(df: DataFrame, sums: Mapping[str, tuple[str, Column]], order_by: Name
     unspecified way, so it should be a total order. Null keys are one key.
     """
     order, keys = names(order_by), names(key)
-    block = order_blocks(df, order, blocks)
+    block = (blocks or order_blocks(df, order)).number()
     rows = df.select(F.struct("*").alias("__row"), block.alias("__block"), *[F.col(f"`{k}`").alias(f"__k{i}") for i, k in enumerate(keys)], *[F.col(f"`{o}`").alias(f"__o{i}") for i, o in enumerate(order)], *[v.alias(f"__v{i}") for i, (_, v) in enumerate(sums.values())])
     by = [f"__k{i}" for i in range(len(keys))]
     kinds = [kind for kind, _ in sums.values()]
@@ -91,12 +108,12 @@ def prefix(df: DataFrame, sums: Mapping[str, tuple[str, Column]], order_by: Name
     return met.select("__row.*", *[merged(i, kind).alias(name) for i, (name, kind) in enumerate(zip(sums, kinds, strict=True))])
 
 
-def row_numbers(df: DataFrame, order_by: Names, key: Names = None, name: str = "rn", blocks: int = BLOCKS) -> DataFrame:
+def row_numbers(df: DataFrame, order_by: Names, key: Names = None, name: str = "rn", blocks: Blocks | None = None) -> DataFrame:
     """``df`` with the place of each row in its key, from 1, without sorting a key in one task."""
     return prefix(df, {name: ("count", F.lit(1))}, order_by, key, blocks=blocks)
 
 
-def halo_blocks(df: DataFrame, order_by: Names, width: int, key: Names = None, rows_per_block: int = 20_000, blocks: int = BLOCKS) -> DataFrame:
+def halo_blocks(df: DataFrame, order_by: Names, width: int, key: Names = None, rows_per_block: int = 20_000, blocks: Blocks | None = None) -> DataFrame:
     """Rows with ``__rn``, ``__part`` and ``__halo``: parts of at most ``rows_per_block + width - 1`` rows that hold all windows of ``width``.
 
     A row is also given, with ``__halo`` true, to the next part if one of that

@@ -36,7 +36,7 @@ def test_prefix_spreads_a_hot_key(rows):
     assert out.where("k = 'hot'").agg(F.max("rn")).first()[0] == rows.where("k = 'hot'").count()
     from ebbflow.plans.windows import order_blocks
 
-    blocks = rows.withColumn("b", order_blocks(rows, "seq")).groupBy("b").count().collect()
+    blocks = rows.withColumn("b", order_blocks(rows, "seq").number()).groupBy("b").count().collect()
     assert len(blocks) > 20 and max(r["count"] for r in blocks) < 300
 
 
