@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ebbflow.functions.expressions import sigmoid, total
-from ebbflow.operators.base import Sequential
+from ebbflow.operators.base import Sequential, apply_global
 from ebbflow.operators.linear import with_state
 from ebbflow.plans.fold import fold, struct_of
 from ebbflow.plans.layout import Layout, Names
@@ -467,7 +467,7 @@ class FittedForest:
         names = []
         for i, (share, state) in enumerate(zip(self.op._shares(), self.states, strict=True)):
             forest = CutForest(share, self.op.tree_size, self.op.seed)
-            made = fold(out, forest, at, "apply", state)
+            made = fold(out, forest, at, "apply", state) if at.key else apply_global(out, forest, at.features, state)
             out = made.withColumnRenamed("score", f"__s{i}").drop("size")
             names.append(f"__s{i}")
         whole = F.col(names[0])

@@ -115,9 +115,9 @@ class Fitted:
         return Fitted(self.op, self.layout, self.state.limit(0))
 
 
-def apply_global(df: DataFrame, op: Sequential, features: Iterable[str], state: DataFrame) -> DataFrame:
-    """Predictions of a single model: its one state row goes to the tasks; no shuffle."""
-    rows = state.limit(1).collect()
+def apply_global(df: DataFrame, op: Sequential, features: Iterable[str], state: DataFrame | None) -> DataFrame:
+    """Predictions of a single model: its one state row (``op.initial()`` if there is none) goes to the tasks; no shuffle."""
+    rows = state.limit(1).collect() if state is not None else []
     learned = rows[0].asDict(recursive=True) if rows else None
     names, d = list(df.columns), len(tuple(features))
     outputs = folds.struct_of(op.output_ddl)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ebbflow.functions.expressions import poisson
-from ebbflow.operators.base import Sequential
+from ebbflow.operators.base import Sequential, apply_global
 from ebbflow.operators.compose import struct_ddl
 from ebbflow.operators.drift import ADWIN, Detector
 from ebbflow.plans.fold import fold, struct_of
@@ -210,6 +210,31 @@ class DriftAwareBagging(Bagging):
 AdaptiveRandomForest = DriftAwareBagging
 
 
+class _Votes(Sequential):
+    """All members at once."""
+
+    output_ddl = "y_pred int, proba map<int,double>"
+
+    def __init__(self, member: Member, rows: list[dict]):
+        self.member, self.rows = member, rows
+
+    def initial(self):
+        return [self.member.load(row) for row in self.rows]
+
+    def apply(self, state, x):
+        if not state:
+            return {"y_pred": [0] * len(x), "proba": [[] for _ in x]}
+        padded = np.concatenate((x, np.zeros((len(x), 1))), axis=1)
+        found = [self.member.apply(s, padded) for s in state]
+        predicted, shares = [], []
+        for i in range(len(x)):
+            said = [int(f["y_pred"][i]) for f in found]
+            predicted.append(min(set(said), key=lambda c: (-said.count(c), c)))
+            issued = [dict(f["proba"][i]) for f in found if f["proba"][i]]
+            shares.append([(c, sum(p.get(c, 0.0) for p in issued) / len(issued)) for c in sorted({c for p in issued for c in p})])
+        return {"y_pred": predicted, "proba": shares}
+
+
 @dataclass
 class FittedBagging:
     """``state``: a row for each member of each key."""
@@ -219,7 +244,15 @@ class FittedBagging:
     state: DataFrame
 
     def predict(self, df: DataFrame) -> DataFrame:
-        """All columns of ``df``, the vote and the mean probabilities."""
+        """All columns of ``df``, the vote and the mean probabilities.
+
+        Without a key the members' states, ``n_estimators`` rows, go to the
+        tasks; with one, rows meet the states of their key and member.
+        """
+        if not self.layout.key:
+            names = struct_of(self.op.member.state_ddl).fieldNames()
+            rows = [{n: r[n] for n in names} for r in (row.asDict(recursive=True) for row in self.state.orderBy("__member").collect())]
+            return apply_global(df, _Votes(self.op.member, rows), self.layout.features, None)
         numbered = df.withColumn("__id", F.struct(F.monotonically_increasing_id()))
         at = replace(self.layout, target=None, order_by=("__id",))
         dealt, inner = self.op._dealt(numbered, at)

@@ -265,7 +265,11 @@ def test_bagging_equals_members_one_by_one(spark, kind):
     assert again == got
     model = op.fit(frame, ["a", "b", "c"], "y", "seq")
     assert model.state.count() == 3 and model.per_learner_drifts().count() == 3 and model.total_drifts().count() == 1
-    assert np.mean([r["y_pred"] == r["y"] for r in model.predict(frame).collect()]) > 0.8
+    said = {r["seq"]: (r["y_pred"], r["proba"]) for r in model.predict(frame).collect()}
+    assert np.mean([said[i][0] == int(rows[i][1]) for i in said]) > 0.8
+    keyed = op.fit(frame.withColumn("k", F.lit("one")), ["a", "b", "c"], "y", "seq", "k").predict(frame.withColumn("k", F.lit("one")))
+    for r in keyed.collect():
+        assert r["y_pred"] == said[r["seq"]][0] and r["proba"] == pytest.approx(said[r["seq"]][1])
 
 
 def test_poisson_counts(spark):
