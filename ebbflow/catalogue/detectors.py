@@ -122,6 +122,20 @@ _PH_SQL = _recursive(
         FROM f JOIN e ON e.user_id = f.user_id AND e.rn = f.rn + 1))))""",
     "",
 )
+
+
+def _bayes_sql() -> str:
+    """Scores of both classes from the rows before each; a class that was not seen has none."""
+    w = "OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    stats = ", ".join(
+        f"count(*) FILTER (WHERE y = {c}) {w} AS n{c}, " + ", ".join(f"avg({x}) FILTER (WHERE y = {c}) {w} AS m{c}{x}, var_samp({x}) FILTER (WHERE y = {c}) {w} AS v{c}{x}" for x in ("x1", "x2")) for c in (0, 1)
+    )
+    term = lambda c, x: f"CASE WHEN v{c}{x} > 0 THEN -0.5 * (ln(2 * pi() * v{c}{x}) + ({x} - m{c}{x}) ** 2 / v{c}{x}) ELSE 0 END"
+    score = lambda c: f"CASE WHEN n{c} > 0 THEN ln(n{c}::DOUBLE / (n0 + n1)) + {term(c, 'x1')} + {term(c, 'x2')} END AS s{c}"
+    return f"""SELECT user_id, round(coalesce(avg((said = y)::INTEGER::DOUBLE) FILTER (WHERE rn > 1), 'nan'::DOUBLE), 6) AS score FROM (
+        SELECT *, CASE WHEN s0 IS NULL THEN 1 WHEN s1 IS NULL OR s0 >= s1 THEN 0 ELSE 1 END AS said FROM (SELECT *, {score(0)}, {score(1)} FROM (SELECT *, {stats} FROM ({EVENTS})))) GROUP BY user_id"""
+
+
 _ROWS = "SELECT e.event_id, f.user_id, f.status FROM f JOIN e USING (user_id, rn)"
 _LAST = lambda columns: f"SELECT user_id, {columns} FROM f QUALIFY rn = max(rn) OVER (PARTITION BY user_id)"
 
@@ -135,6 +149,7 @@ from ebbflow.catalogue.windows import ORACLES as _WINDOWS  # noqa: E402
 ORACLES = {
     "ddm_status": _DDM_SQL + _ROWS, "eddm_status": _EDDM_SQL + _ROWS, "page_hinkley_status": _PH_SQL + _ROWS, "streaming_ddm_status": _DDM_SQL + _ROWS,
     "ddm_state": _DDM_SQL + _LAST("n, er AS errors, status, drifts, warnings"), "eddm_state": _EDDM_SQL + _LAST("n, ne AS n_errors, drifts, warnings"), "page_hinkley_state": _PH_SQL + _LAST("n, drifts"),
+    "naive_bayes_trajectory": _bayes_sql(),
     "kswin_fold_status": _WINDOWS["kswin_status"],
     "streaming_user_totals": "SELECT user_id, count(*) AS n, count(*) FILTER (WHERE event_type = 'error') AS errors FROM events GROUP BY user_id",
 }
