@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ebbflow.llm.shared import PieceEncoder, arrow_map, held, slices, string_values
+from ebbflow.llm.shared import PieceEncoder, arrow_map, held, pack_ids, slices, string_values
 
 
 class ByteBpe:
@@ -104,10 +104,10 @@ class ByteBpe:
         return out
 
     def _core(self, text: str) -> bytes:
-        return np.array(self.merge(text.encode()), dtype="<u4").tobytes()
+        return pack_ids(self.merge(text.encode()))
 
     def _split(self, text: str) -> bytes:
-        return np.array([i for token in self.pattern.findall(text) for i in self.merge(token.encode())], dtype="<u4").tobytes()
+        return pack_ids([i for token in self.pattern.findall(text) for i in self.merge(token.encode())])
 
     def _whole(self, text: str) -> bytes:
         cores, limit = self.pieces.cores, 64

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ctypes
 import re
+import struct
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -86,7 +87,8 @@ def held(key, make: Callable):
 
 
 def _let_go() -> None:
-    """Gives freed memory back to the machine."""
+    """Drops what the worker keeps and gives freed memory back to the machine."""
+    _HELD.clear()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
@@ -97,13 +99,14 @@ def arrow_map(df: DataFrame, work: Callable, schema, encodes: bool = False) -> D
     """``df.mapInArrow(work, schema)`` with batches of bounded bytes.
 
     Workers live on between tasks; unless this work ``encodes``, what an
-    encoder kept is dropped first.
+    encoder kept is dropped before and after.
     """
     df.sparkSession.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
 
     def run(batches):
+        # called by name: this function travels by value, with copies of what it refers to
         if not encodes:
-            _HELD.clear()
+            _let_go()
         yield from work(batches)
         if not encodes:
             _let_go()
@@ -167,12 +170,15 @@ class PieceEncoder:
                 word = key[1:]
             else:
                 lead = " "
-        match = _CORE.fullmatch(word)
-        if match is None or not match[1].isalpha():
-            return self.encode_piece(lead + word)
-        core, tail = match.groups()
+        if word.isascii() and word.isalpha():
+            core, tail = word, ""
+        else:
+            match = _CORE.fullmatch(word)
+            if match is None or not match[1].isalpha():
+                return self.encode_piece(lead + word)
+            core, tail = match.groups()
         if self.drops_space:
-            out = self._core(core.lower() if max(core) < "\u0130" else core)
+            out = self._core(core.lower() if core.isascii() or max(core) < "\u0130" else core)
         elif lead == "\n":
             out = self._core("\n") + self._core(core)
         else:
@@ -200,7 +206,7 @@ class PieceEncoder:
         return self._ids(keys)
 
 
-def library_encoder(path: str, drops_space: bool, limit: int = 300_000) -> PieceEncoder:
+def library_encoder(path: str, drops_space: bool, limit: int = 600_000) -> PieceEncoder:
     """A :class:`PieceEncoder` over a ``tokenizers`` JSON file, without special tokens added."""
     import os
 
@@ -212,18 +218,27 @@ def library_encoder(path: str, drops_space: bool, limit: int = 300_000) -> Piece
     merge, table = tokenizer.model.tokenize, _byte_letters()
 
     def encode(text: str) -> bytes:
-        return np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return pack_ids(tokenizer.encode(text, add_special_tokens=False).ids)
 
     def encode_core(text: str) -> bytes:
         """One match of the splitting pattern. Up to U+012F its letters are in normal form and have one lower-case letter each."""
-        if max(text) >= "\u0130":
+        ascii_only = text.isascii()
+        if not ascii_only and max(text) >= "\u0130":
             return encode(text)
-        letters = (text.lower() if drops_space else text).encode().decode("latin-1").translate(table)
-        return np.array([token.id for token in merge(letters)], dtype="<u4").tobytes()
+        if drops_space:
+            text = text.lower()
+        plain = ascii_only and text.isprintable() and " " not in text  # these bytes are written as themselves
+        letters = text if plain else text.encode().decode("latin-1").translate(table)
+        return pack_ids([token.id for token in merge(letters)])
 
     return PieceEncoder(encode, encode, drops_space, limit, encode_core)
 
 
+def pack_ids(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit integers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 def _byte_letters() -> dict[int, int]:
     """The printable letter by which byte-level vocabularies write each byte."""
     plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -257,5 +272,5 @@ def mix64(values: np.ndarray) -> np.ndarray:
 
 __all__ = [
     "WORD_PATTERN", "BoundedCache", "PieceEncoder", "arrow_map", "binary_values", "cut_lineage", "ensure_checkpoint_dir", "held",
-    "library_encoder", "mix64", "shuffle_width", "slices", "stored", "string_values", "worker_encoder", "xxh64",
+    "library_encoder", "mix64", "pack_ids", "shuffle_width", "slices", "stored", "string_values", "worker_encoder", "xxh64",
 ]

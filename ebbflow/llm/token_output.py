@@ -111,4 +111,4 @@ def token_digests(spark: SparkSession, path: str) -> DataFrame:
                 ["doc_id", "start", "n_tokens", "ids_crc32"],
             )
 
-    return arrow_map(read_token_files(spark, path), digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return arrow_map(read_token_files(spark, path), digest, "doc_id long, start long, n_tokens long, ids_crc32 long", encodes=True)
