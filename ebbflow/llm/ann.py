@@ -8,7 +8,9 @@ query is scored against codes by adding table entries (query times codeword)
 and dividing by the norm; the best of each block of rows are rescored exactly,
 in double precision, on the original vectors.
 
-Every row is encoded, on the executors. Queries go out in blocks of a fixed
+Identical vectors are one row of the index, with their least ids: no group of
+copies fills the places of a block, and ties within it go to the smaller ids.
+Every distinct vector is encoded, on the executors. Queries go out in blocks of a fixed
 size, each meeting all rows once; a task returns ``k`` exact neighbours for each
 query and block of rows, so what is shuffled is k rows for each query and task.
 """
@@ -141,7 +143,7 @@ def fit_codebooks(sample: np.ndarray, codebooks: int = CODEBOOKS, codewords: int
 
 def usable(vectors: DataFrame) -> DataFrame:
     """``vec_id, embedding`` (doubles) of rows that take part: an id, and a vector without null or non-finite numbers that isn't zero."""
-    values = F.col("embedding").cast("array<double>")
+    values = F.transform(F.col("embedding").cast("array<double>"), lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x))  # no -0.0
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), values.alias("embedding"))
     return rows.where(F.col("vec_id").isNotNull() & F.forall("embedding", finite) & F.exists("embedding", lambda x: x != 0))
@@ -151,8 +153,21 @@ def _vectors(column: pa.Array, d: int) -> np.ndarray:
     return np.asarray(column.flatten(), dtype=np.float64).reshape(-1, d)
 
 
-def build_index(vectors: DataFrame, sample_rows: int = SAMPLE_ROWS, codebooks: int = CODEBOOKS, beam: int = 4, **settings) -> tuple[Codebooks | None, DataFrame | None]:
-    """Codebooks and the stored index ``vec_id, embedding, codes, norm`` of every usable row.
+def distinct_vectors(rows: DataFrame, most_ids: int) -> DataFrame:
+    """``ids, embedding``: each distinct vector of ``rows(vec_id, embedding)`` once, with its ``most_ids`` least ids.
+
+    Every task drops what lies beyond ``most_ids`` before the shuffle, so a large group of copies stays small.
+    """
+    marked = rows.withColumn("mark", F.xxhash64("embedding"))  # compared first
+    least = F.dense_rank().over(Window.partitionBy("mark", "embedding").orderBy("vec_id"))
+    kept = marked.withColumn("place", least).where(F.col("place") <= most_ids)
+    return kept.groupBy("mark", "embedding").agg(F.collect_set("vec_id").alias("ids")).select("ids", "embedding")
+
+
+def build_index(vectors: DataFrame, sample_rows: int = SAMPLE_ROWS, codebooks: int = CODEBOOKS, beam: int = 4, most_ids: int = 6, **settings) -> tuple[Codebooks | None, DataFrame | None]:
+    """Codebooks and the stored index ``ids, embedding, codes, norm`` of every distinct usable vector.
+
+    ``ids``: the ``most_ids`` least ids of the vector, one more than the neighbours to be searched for.
 
     The sample is the ``sample_rows`` usable vectors of the least hash of their
     id. The index has one dimension, the one that most sampled vectors have;
@@ -171,10 +186,10 @@ def build_index(vectors: DataFrame, sample_rows: int = SAMPLE_ROWS, codebooks: i
             values = _vectors(batch.column(1), d)
             codes, norms = model.encode(_unit(values))
             packed = [row.tobytes() for row in codes]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary()), pa.array(norms)], ["vec_id", "embedding", "codes", "norm"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary()), pa.array(norms)], ["ids", "embedding", "codes", "norm"])
 
-    same = rows.where(F.size("embedding") == d)
-    index = cut_lineage(arrow_map(same, encode, "vec_id long, embedding array<double>, codes binary, norm double"))
+    same = distinct_vectors(rows.where(F.size("embedding") == d), most_ids)
+    index = cut_lineage(arrow_map(same, encode, "ids array<long>, embedding array<double>, codes binary, norm double"))
     return model, index
 
 
@@ -184,8 +199,9 @@ RESULT_SCHEMA = "query_id long, vec_id long, score double"
 def search(model: Codebooks, index: DataFrame, queries: DataFrame, k: int = 5, rerank: int = 192, block: int = QUERY_BLOCK) -> DataFrame:
     """``query_id, rank, vec_id, score``: for each row of ``queries(vec_id, embedding)`` its ``k`` nearest of the index.
 
-    Candidates are all rows of another id. Of each block of rows the
-    ``rerank`` best by codes are scored exactly. Ties go to the smaller id;
+    Candidates are all rows of another id. Of each block of distinct vectors
+    the ``rerank`` best by codes are scored exactly. The index must hold
+    ``k + 1`` ids of a vector, as one may be the query's own. Ties go to the smaller id;
     rows that repeat an id count once, by their best score; of queries that
     repeat an id the least vector counts.
     """
@@ -205,24 +221,32 @@ def search(model: Codebooks, index: DataFrame, queries: DataFrame, k: int = 5, r
             units = _unit(values)
             lengths = np.linalg.norm(values, axis=1)
             for batch in slices(batches, ROW_BLOCK, 1 << 24):
-                own = batch.column(0).to_numpy()
+                own, held_ids = batch.column(0).flatten().to_numpy(), batch.column(0).value_lengths().to_numpy().astype(np.int64)
+                first = np.cumsum(held_ids) - held_ids
+                lone = np.flatnonzero(held_ids == 1)
                 rows = _vectors(batch.column(1), d)
-                codes = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.uint8).reshape(len(own), -1)
+                codes = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.uint8).reshape(len(rows), -1)
                 norms, sizes = batch.column(3).to_numpy(), np.linalg.norm(rows, axis=1)
                 out_q, out_v, out_s = [], [], []
                 for start in range(0, len(ids), 256):
                     near = model.scores(units[start : start + 256], codes, norms)
-                    near[own[:, None] == ids[None, start : start + 256]] = -np.inf
-                    keep = min(rerank, len(own))
+                    mine, asked_by = np.nonzero(own[first[lone], None] == ids[None, start : start + 256])
+                    near[lone[mine], asked_by] = -np.inf
+                    keep = min(rerank, len(rows))
                     best = np.argpartition(-near, keep - 1, axis=0)[:keep]
                     for q in range(best.shape[1]):
-                        at = best[:, q][own[best[:, q]] != ids[start + q]]
+                        at = best[:, q]
                         exact = rows[at] @ values[start + q] / (sizes[at] * lengths[start + q])
-                        order = np.lexsort((own[at], -exact))
-                        _, firsts = np.unique(own[at][order], return_index=True)
+                        # a vector's score stands for each of its ids
+                        many = held_ids[at]
+                        names = own[np.arange(many.sum()) + np.repeat(first[at] - (np.cumsum(many) - many), many)]
+                        exact = np.repeat(exact, many)[names != ids[start + q]]
+                        names = names[names != ids[start + q]]
+                        order = np.lexsort((names, -exact))
+                        _, firsts = np.unique(names[order], return_index=True)
                         take = order[np.sort(firsts)[:k]]
                         out_q.append(np.full(len(take), ids[start + q]))
-                        out_v.append(own[at][take])
+                        out_v.append(names[take])
                         out_s.append(exact[take])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_q, out_v, out_s)], ["query_id", "vec_id", "score"])
 
@@ -239,7 +263,7 @@ def search(model: Codebooks, index: DataFrame, queries: DataFrame, k: int = 5, r
 
 def nearest(vectors: DataFrame, every: int = 50, k: int = 5, **settings) -> DataFrame:
     """Neighbours of the rows whose ``vec_id`` is divisible by ``every`` among all other rows; see ``build_index`` and ``search``."""
-    model, index = build_index(vectors, **settings)
+    model, index = build_index(vectors, most_ids=k + 1, **settings)
     if model is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     return search(model, index, vectors.where(F.col("vec_id") % every == 0).select("vec_id", "embedding"), k)

@@ -312,6 +312,23 @@ def test_nearest_neighbours(spark):
     assert ann.nearest(few.where("vec_id = 0")).count() == 0
 
 
+def test_nearest_neighbours_of_many_copies(spark):
+    import numpy as np
+
+    draw = np.random.default_rng(3)
+    vectors = draw.standard_normal((3000, 8))
+    ids = draw.permutation(3000)
+    vectors[ids % 3 == 0] = vectors[0]
+    rows = [(int(i), [float(v) for v in vec]) for i, vec in zip(ids, vectors, strict=True)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    found: dict = {}
+    for r in ann.nearest(frame).orderBy("query_id", "rank").collect():
+        found.setdefault(r["query_id"], []).append(r["vec_id"])
+    copies = [i for i in range(0, 30, 3)]
+    asked = [q for q in range(0, 3000, 50) if q % 3 == 0]
+    assert {q: found[q] for q in asked} == {q: [i for i in copies if i != q][:5] for q in asked}
+
+
 def test_pipeline_stages_on_odd_rows(spark, docs, none, tmp_path):
     for k, frame in enumerate((docs, none)):
         rows = frame
