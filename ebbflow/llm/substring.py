@@ -1,9 +1,10 @@
 """Removal of repeated word windows through a log-structured fingerprint index.
 
 The index is a folder of immutable runs, each written by one batch and sorted
-by fingerprint within its files. A batch is merge-joined with all runs, matches
-are verified, and runs are compacted when there are many, so a corpus can be
-deduplicated batch by batch.
+by fingerprint in pieces of its files. A batch becomes one more run, the parts
+of all runs are grouped and counted anew, matches are verified, and runs are
+compacted when there are many, so a corpus can be deduplicated batch by batch.
+Sorted runs aren't merge-joined with the batch.
 
 A run needn't hold every window of K words. Of each window the least hash among
 its G-word parts is kept ("winnowing"). Equal windows keep equal parts, so a
@@ -120,13 +121,36 @@ def _signed(values: np.ndarray) -> pa.Array:
 
 
 class FingerprintIndex:
-    """Runs of winnowed window fingerprints in a folder that all machines share."""
+    """Runs of winnowed window fingerprints in a folder that all machines share.
+
+    A folder that has complete runs is taken up where it was left. Runs carry a
+    generation in their names; compaction starts the next, which replaces the one before.
+    """
 
     def __init__(self, spark: SparkSession, path: str, window: int = 35, part: int = 14, most_runs: int = 4):
         if not 1 <= part <= window:
             raise ValueError("part must lie in 1..window")
         self.spark, self.path, self.window, self.part, self.most_runs = spark, path, window, part, most_runs
-        self.runs: list[str] = []
+        self.generation, self.runs = self._found()
+
+    def _found(self) -> tuple[int, list[str]]:
+        """The latest generation in the folder and its complete runs."""
+        jvm = self.spark.sparkContext._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(self.path)
+        files = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        found: dict[int, list[str]] = {}
+        for entry in files.listStatus(folder) if files.exists(folder) else []:
+            name = entry.getPath().getName()
+            if not name.startswith("run-") or not files.exists(jvm.org.apache.hadoop.fs.Path(entry.getPath(), "_SUCCESS")):
+                continue
+            if name.count("-") != 2:
+                raise ValueError(f"{self.path}/{name} doesn't tell whether it was compacted")
+            found.setdefault(int(name.split("-")[1]), []).append(f"{self.path}/{name}")
+        latest = max(found, default=0)
+        return latest, sorted(found.get(latest, []))
+
+    def _name(self, generation: int) -> str:
+        return f"{self.path}/run-{generation}-{uuid.uuid4().hex}"
 
     def add(self, docs: DataFrame) -> None:
         """Writes one run of ``docs(doc_id, text)``; compacts when there are more than ``most_runs``."""
@@ -151,7 +175,7 @@ class FingerprintIndex:
             if held:
                 yield from pa.Table.from_batches(held).sort_by("part").combine_chunks().to_batches()
 
-        name = f"{self.path}/run-{uuid.uuid4().hex}"
+        name = self._name(self.generation)
         arrow_map(_keyed(docs), fingerprints, RUN_SCHEMA).write.option("compression", "zstd").parquet(name)
         self.runs.append(name)
         if len(self.runs) > self.most_runs:
@@ -164,9 +188,9 @@ class FingerprintIndex:
     def compact(self) -> None:
         """Merges all runs into one of disjoint, sorted ranges. The old files stay: others may still read them."""
         order = ["part", "context", "did", "at"]
-        name = f"{self.path}/run-{uuid.uuid4().hex}"
+        name = self._name(self.generation + 1)
         self.entries().repartitionByRange(shuffle_width(self.spark), *order).sortWithinPartitions(*order).write.option("compression", "zstd").parquet(name)
-        self.runs = [name]
+        self.generation, self.runs = self.generation + 1, [name]
 
 
 def _bitmap(hashes: DataFrame) -> np.ndarray:

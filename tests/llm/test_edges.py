@@ -205,6 +205,19 @@ def test_substring_incremental(spark):
         assert len(index.runs) == (2 if most_runs == 4 else 1)
 
 
+def test_index_is_taken_up_from_its_folder(spark):
+    frame = spark.createDataFrame([(i, f"{VOCABULARY[i]} {PASSAGE} {VOCABULARY[-i]}") for i in (1, 2, 3)], "doc_id long, text string")
+    alone = spark.createDataFrame([(4, PASSAGE)], "doc_id long, text string")
+    for most_runs in (4, 1):
+        path = f"{ensure_checkpoint_dir(spark)}/reopened-{most_runs}-{random.random()}"
+        first = substring.FingerprintIndex(spark, path, most_runs=most_runs)
+        first.add(frame.where("doc_id = 1"))
+        first.add(frame.where("doc_id > 1"))
+        again = substring.FingerprintIndex(spark, path, most_runs=most_runs)
+        assert again.entries().count() == first.entries().count() and sorted(again.runs) == sorted(first.runs)
+        assert substring.repeat_digests(alone, again, frame).first()["n_removed"] == 60
+
+
 def test_token_counts(docs, clashing, none):
     encoder = Tokenizer.from_file(JSON)
     lengths = [len(encoder.encode(t or "", add_special_tokens=False).ids) for _, t in TEXTS]
