@@ -15,17 +15,20 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one is set only where none is configured."""
+    """The folder that driver and executors share. A local one is made only where none is configured and the master is local."""
     sc = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None)
     current = sc.getCheckpointDir()
     if current is None:
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        if configured is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="ebbflow-checkpoint-"))
         current = sc.getCheckpointDir()
     return current
@@ -37,14 +40,39 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """The rows as zstd Parquet in the shared folder: what ``cut_lineage`` does, at a fraction of its disk for large tables."""
+def scratch(spark: SparkSession, kind: str) -> str:
+    """A fresh path in this application's part of the shared folder; ``clear_scratch`` deletes that part."""
+    return f"{_own_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+
+
+def _own_folder(spark: SparkSession) -> str:
+    return f"{ensure_checkpoint_dir(spark)}/ebbflow-{spark.sparkContext.applicationId}"
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes the tables that this application's operators stored. Results not yet read are lost with them."""
+    remove_folder(spark, _own_folder(spark))
+
+
+def stored(df: DataFrame, folder: str | None = None) -> DataFrame:
+    """The rows as zstd Parquet in the shared folder, or one in it: what ``cut_lineage`` does, at a fraction of its disk for large tables."""
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    path = f"{folder}/{uuid.uuid4().hex}" if folder else scratch(spark, "table")
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def row_key(id_: Column, text: Column) -> list[Column]:
+    """``k1, k2``: 128 bits over a row's id, which may be null, and its text. Rows that are alike in both share it."""
+    parts = (id_, id_.isNull(), F.coalesce(text, F.lit("")))
+    return [F.xxhash64(*parts).alias("k1"), F.xxhash64(F.lit(1), *reversed(parts)).alias("k2")]
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -98,10 +126,15 @@ def _let_go() -> None:
 def arrow_map(df: DataFrame, work: Callable, schema, encodes: bool = False) -> DataFrame:
     """``df.mapInArrow(work, schema)`` with batches of bounded bytes.
 
+    Spark takes the bound from the session when the plan runs, which may be long
+    after this call; so the session gets it, unless it has a smaller one.
     Workers live on between tasks; unless this work ``encodes``, what an
     encoder kept is dropped before and after.
     """
-    df.sparkSession.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+    conf = df.sparkSession.conf
+    current = conf.get(_BATCH_SETTING, None)
+    if current is None or not current.isdigit() or not 0 < int(current) <= BATCH_BYTES:
+        conf.set(_BATCH_SETTING, str(BATCH_BYTES))
 
     def run(batches):
         # called by name: this function travels by value, with copies of what it refers to
@@ -177,6 +210,9 @@ class PieceEncoder:
             if match is None or not match[1].isalpha():
                 return self.encode_piece(lead + word)
             core, tail = match.groups()
+            if tail and max(core) >= "\u0130":
+                # its normal form or lower case may end in a mark that belongs to the next match, as that of U+0130 does
+                return self.encode_piece(lead + word)
         if self.drops_space:
             out = self._core(core.lower() if core.isascii() or max(core) < "\u0130" else core)
         elif lead == "\n":
@@ -271,6 +307,6 @@ def mix64(values: np.ndarray) -> np.ndarray:
 
 
 __all__ = [
-    "WORD_PATTERN", "BoundedCache", "PieceEncoder", "arrow_map", "binary_values", "cut_lineage", "ensure_checkpoint_dir", "held",
-    "library_encoder", "mix64", "pack_ids", "shuffle_width", "slices", "stored", "string_values", "worker_encoder", "xxh64",
+    "WORD_PATTERN", "BoundedCache", "PieceEncoder", "arrow_map", "binary_values", "clear_scratch", "cut_lineage", "ensure_checkpoint_dir", "held",
+    "library_encoder", "mix64", "pack_ids", "remove_folder", "row_key", "scratch", "shuffle_width", "slices", "stored", "string_values", "worker_encoder", "xxh64",
 ]

@@ -1,35 +1,45 @@
 """Removal of repeated word windows through a log-structured fingerprint index.
 
-The index is a folder of immutable runs, each written by one batch and sorted
-by fingerprint in pieces of its files. A batch becomes one more run, the parts
-of all runs are grouped and counted anew, matches are verified, and runs are
-compacted when there are many, so a corpus can be deduplicated batch by batch.
-Sorted runs aren't merge-joined with the batch.
+The index is a folder of immutable runs. A batch's window fingerprints become
+one run: each fingerprint once, with its count, dealt into buckets and sorted
+within them. The run is merge-joined, bucket by bucket and without a shuffle,
+with each earlier run; what both hold, and what the batch holds twice, recurs.
+Matches are verified, and runs are compacted when there are many, so a corpus
+is deduplicated batch by batch. A manifest, written last, says what belongs to
+the index: a batch that failed half-way is not part of it, and a folder is
+taken up where its last manifest left it. Runs that compaction replaced are
+deleted once the manifest no longer names them.
 
 A run needn't hold every window of K words. Of each window the least hash among
 its G-word parts is kept ("winnowing"). Equal windows keep equal parts, so a
 window that occurs elsewhere always holds a part that occurs elsewhere, and
-about 2 of K - G + 2 parts suffice. With each part goes a hash of its context:
-all words of the windows around it. Then
+about 2 of K - G + 2 parts suffice. Where a part lies is kept beside the runs,
+with a hash of its context: all words of the windows around it. Then
 
 1. parts whose hash and context both occur elsewhere mark all windows around
    them as repeated (the inside of long repeated passages);
 2. for parts that recur in another context (the borders of passages) the
-   windows around them are hashed one by one, in a second pass over the texts,
-   and compared by 128 bits. A bitmap of fixed size, at most 2**27 bits, tells
-   that pass which parts those are; a false hit costs work and changes nothing.
-
-Shuffles carry fingerprints and positions. Another such bitmap keeps parts that
-occur once out of them, and texts move only where repeats were found, to meet
-their positions. Hot fingerprints are counted before the shuffle and joined by
-plain equality, which Spark may split.
+   windows around them are hashed one by one, in a second pass over the texts.
+
+Both compare 128 bits (two independent hashes of all the words concerned), not
+the words themselves: unequal windows are held equal with a chance of about
+2**-128 a pair. Rows are told apart by 128 bits over id and text.
+
+Shuffles carry fingerprints and positions. Bitmaps of at most 2**27 bits keep
+most of what occurs once out of them, and texts move only where repeats were
+found. A bitmap is a first sieve before an exact join: when it fills up, as it
+must when far more than 10**8 fingerprints recur, it is left out, and the border
+pass gets its parts by a join instead. Hot fingerprints are counted before the
+shuffle and joined by plain equality with stored tables, which Spark may split.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import operator
 import uuid
+from contextlib import contextmanager
 from functools import reduce
 from itertools import chain
 
@@ -39,10 +49,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ebbflow.llm.shared import arrow_map, binary_values, ensure_checkpoint_dir, mix64, shuffle_width, slices, stored, xxh64
+from ebbflow.llm.shared import arrow_map, binary_values, mix64, remove_folder, row_key, scratch, shuffle_width, slices, stored, xxh64
 
 BITMAP_BITS = 27
-RUN_SCHEMA = "part long, context long, did long, tag int, at int"
+#: A sieve that holds more than this share of its bits lets too much through.
+FULL = 0.25
+POSITION_SCHEMA = "part long, context long, k1 long, k2 long, at int"
+RUN_SCHEMA = "part long, n long"
 
 
 class Rolling:
@@ -106,10 +119,9 @@ class Windows:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """``did, tag, text``: rows with the same id and text share a key, and their result; others don't."""
+    """``k1, k2, text``: rows with the same id and text share a key, and their result; others don't."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    known = F.col("doc_id").cast("long")
-    return docs.select(F.coalesce(known, F.lit(0)).alias("did"), F.hash(text, known.isNull()).alias("tag"), text.alias("text"))
+    return docs.select(*row_key(F.col("doc_id").cast("long"), text), text.alias("text"))
 
 
 def _take(column: pa.Array, rows: np.ndarray) -> pa.Array:
@@ -120,81 +132,151 @@ def _signed(values: np.ndarray) -> pa.Array:
     return pa.array(values.view(np.int64))
 
 
+@contextmanager
+def _file_order_trusted(spark: SparkSession):
+    """Scans of a bucket that is one sorted file count as sorted, so a merge join needs no sort. For plans that run inside alone."""
+    name = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class FingerprintIndex:
     """Runs of winnowed window fingerprints in a folder that all machines share.
 
-    A folder that has complete runs is taken up where it was left. Runs carry a
-    generation in their names; compaction starts the next, which replaces the one before.
+    ``runs``: names of sorted runs; ``positions``: where each batch's parts
+    lie; ``repeats``: for each batch the parts found to recur when it came. One
+    writer at a time.
     """
 
     def __init__(self, spark: SparkSession, path: str, window: int = 35, part: int = 14, most_runs: int = 4):
         if not 1 <= part <= window:
             raise ValueError("part must lie in 1..window")
         self.spark, self.path, self.window, self.part, self.most_runs = spark, path, window, part, most_runs
-        self.generation, self.runs = self._found()
-
-    def _found(self) -> tuple[int, list[str]]:
-        """The latest generation in the folder and its complete runs."""
+        self.version, held = self._manifest()
+        if held and (held["window"], held["part"]) != (window, part):
+            raise ValueError(f"{path} holds windows of {held['window']} words and parts of {held['part']}")
+        self.buckets: int = held.get("buckets", shuffle_width(spark))
+        self.runs: list[str] = held.get("runs", [])
+        self.positions: list[str] = held.get("positions", [])
+        self.repeats: list[str] = held.get("repeats", [])
+
+    def _files(self):
         jvm = self.spark.sparkContext._jvm
         folder = jvm.org.apache.hadoop.fs.Path(self.path)
-        files = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        found: dict[int, list[str]] = {}
-        for entry in files.listStatus(folder) if files.exists(folder) else []:
-            name = entry.getPath().getName()
-            if not name.startswith("run-") or not files.exists(jvm.org.apache.hadoop.fs.Path(entry.getPath(), "_SUCCESS")):
-                continue
-            if name.count("-") != 2:
-                raise ValueError(f"{self.path}/{name} doesn't tell whether it was compacted")
-            found.setdefault(int(name.split("-")[1]), []).append(f"{self.path}/{name}")
-        latest = max(found, default=0)
-        return latest, sorted(found.get(latest, []))
-
-    def _name(self, generation: int) -> str:
-        return f"{self.path}/run-{generation}-{uuid.uuid4().hex}"
-
-    def add(self, docs: DataFrame) -> None:
-        """Writes one run of ``docs(doc_id, text)``; compacts when there are more than ``most_runs``."""
+        return jvm, folder, folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _manifest(self) -> tuple[int, dict]:
+        """The latest manifest's number and content; 0 and nothing where there is none."""
+        jvm, folder, files = self._files()
+        names = [entry.getPath().getName() for entry in files.listStatus(folder)] if files.exists(folder) else []
+        version = max((int(name[9:]) for name in names if name.startswith("manifest-")), default=0)
+        if not version:
+            return 0, {}
+        stream = files.open(jvm.org.apache.hadoop.fs.Path(folder, f"manifest-{version}"))
+        try:
+            return version, json.loads(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def _commit(self) -> None:
+        """Writes the next manifest under another name and renames it, so readers see it whole or not at all."""
+        jvm, folder, files = self._files()
+        content = {k: getattr(self, k) for k in ("window", "part", "buckets", "runs", "positions", "repeats")}
+        draft, final = (jvm.org.apache.hadoop.fs.Path(folder, name) for name in (f"draft-{uuid.uuid4().hex}", f"manifest-{self.version + 1}"))
+        stream = files.create(draft)
+        try:
+            stream.write(json.dumps(content).encode())
+        finally:
+            stream.close()
+        if not files.rename(draft, final):
+            raise RuntimeError(f"another writer committed to {self.path}")
+        self.version += 1
+
+    def _write_run(self, keys: DataFrame) -> str:
+        """One sorted file for each bucket of ``keys(part, n)``, whose parts are distinct."""
+        name = f"run_{uuid.uuid4().hex}"
+        # the exchange of the aggregation that made the keys deals them already, if it has as many partitions
+        dealt = keys if self.buckets == shuffle_width(self.spark) else keys.repartition(self.buckets, "part")
+        writer = dealt.write.bucketBy(self.buckets, "part").sortBy("part").option("compression", "zstd").option("path", f"{self.path}/{name}")
+        writer.format("parquet").saveAsTable(f"ebbflow_{name}")
+        return name
+
+    def run(self, name: str) -> DataFrame:
+        """``part, n`` of a run, known to Spark as bucketed and sorted."""
+        place = f"{self.path}/{name}".replace("\\", "\\\\").replace("'", "\\'")
+        self.spark.sql(
+            f"CREATE TABLE IF NOT EXISTS ebbflow_{name} (part BIGINT, n BIGINT) USING parquet CLUSTERED BY (part) SORTED BY (part) INTO {self.buckets} BUCKETS LOCATION '{place}'"
+        )
+        return self.spark.table(f"ebbflow_{name}")
+
+    def _forget(self, name: str) -> None:
+        """Takes the run out of Spark's catalogue; its files stay."""
+        self.spark.sql(f"DROP TABLE IF EXISTS ebbflow_{name}")
+
+    def recurring(self, name: str) -> DataFrame:
+        """Parts of the run ``name`` that occur twice in it, or in an earlier run as well: one merge join for each earlier run."""
+        new = self.run(name)
+        met = [new.hint("merge").join(self.run(old).select("part"), "part", "left_semi").select("part") for old in self.runs if old != name]
+        return reduce(DataFrame.unionByName, met, new.where("n > 1").select("part"))
+
+    def add(self, docs: DataFrame) -> str:
+        """Makes ``docs(doc_id, text)`` one more run; compacts when there are more than ``most_runs``. The name of the batch's repeats."""
         window, part = self.window, self.part
 
         def fingerprints(batches):
-            held = []
             for batch in slices(batches, 256):
                 found = Windows(binary_values(batch.column(2)), window, part)
-                held.append(
-                    pa.RecordBatch.from_arrays(
-                        [
-                            _signed(found.part), _signed(found.context()), _take(batch.column(0), found.row), _take(batch.column(1), found.row),
-                            pa.array((found.at - found.starts[found.row]).astype(np.int32)),
-                        ],
-                        ["part", "context", "did", "tag", "at"],
-                    )
-                )
-                if sum(b.num_rows for b in held) >= 1 << 18:
-                    yield from pa.Table.from_batches(held).sort_by("part").combine_chunks().to_batches()
-                    held = []
-            if held:
-                yield from pa.Table.from_batches(held).sort_by("part").combine_chunks().to_batches()
-
-        name = self._name(self.generation)
-        arrow_map(_keyed(docs), fingerprints, RUN_SCHEMA).write.option("compression", "zstd").parquet(name)
-        self.runs.append(name)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        _signed(found.part), _signed(found.context()), _take(batch.column(0), found.row), _take(batch.column(1), found.row),
+                        pa.array((found.at - found.starts[found.row]).astype(np.int32)),
+                    ],
+                    ["part", "context", "k1", "k2", "at"],
+                )
+
+        at, repeats = f"positions_{uuid.uuid4().hex}", f"repeats_{uuid.uuid4().hex}"
+        arrow_map(_keyed(docs), fingerprints, POSITION_SCHEMA).write.option("compression", "zstd").parquet(f"{self.path}/{at}")
+        run = self._write_run(self._read(POSITION_SCHEMA, [at]).groupBy("part").agg(F.count("*").alias("n")))
+        with _file_order_trusted(self.spark):
+            self.recurring(run).distinct().write.option("compression", "zstd").parquet(f"{self.path}/{repeats}")
+        for name in [*self.runs, run]:
+            self._forget(name)
+        self.runs, self.positions, self.repeats = [*self.runs, run], [*self.positions, at], [*self.repeats, repeats]
+        self._commit()
         if len(self.runs) > self.most_runs:
             self.compact()
+        return repeats
+
+    def compact(self) -> None:
+        """Merges all runs into one; the others are deleted once the manifest doesn't name them."""
+        old = self.runs
+        keys = reduce(DataFrame.unionByName, [self.run(name) for name in old])
+        self.runs = [self._write_run(keys.groupBy("part").agg(F.sum("n").alias("n")))]
+        for name in [*old, *self.runs]:
+            self._forget(name)
+        self._commit()
+        for name in old:
+            remove_folder(self.spark, f"{self.path}/{name}")
+
+    def _read(self, schema: str, names: list[str]) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(*[f"{self.path}/{name}" for name in names])
 
     def entries(self) -> DataFrame:
-        read = self.spark.read.schema(RUN_SCHEMA)
-        return read.parquet(*self.runs) if self.runs else self.spark.createDataFrame([], RUN_SCHEMA)
+        """Where parts lie: ``part, context, k1, k2, at``."""
+        return self._read(POSITION_SCHEMA, self.positions) if self.positions else self.spark.createDataFrame([], POSITION_SCHEMA)
 
-    def compact(self) -> None:
-        """Merges all runs into one of disjoint, sorted ranges. The old files stay: others may still read them."""
-        order = ["part", "context", "did", "at"]
-        name = self._name(self.generation + 1)
-        self.entries().repartitionByRange(shuffle_width(self.spark), *order).sortWithinPartitions(*order).write.option("compression", "zstd").parquet(name)
-        self.generation, self.runs = self.generation + 1, [name]
+    def repeated_parts(self, batches: list[str] | None = None) -> DataFrame:
+        """``part``: distinct parts that were found to recur when the named batches came, or any."""
+        names = self.repeats if batches is None else batches
+        return self._read("part long", names).distinct() if names else self.spark.createDataFrame([], "part long")
 
 
-def _bitmap(hashes: DataFrame) -> np.ndarray:
-    """Bitmap, by the upper bits, of the one column of ``hashes``. At most 2**27 bits, whatever the number of rows."""
+def _sieve(hashes: DataFrame) -> np.ndarray:
+    """Bitmap, by the upper bits, of the one column of ``hashes``: at most 2**27 bits, whatever the number of rows."""
     h = F.col(hashes.columns[0])
     cell = F.shiftrightunsigned(h, 64 - BITMAP_BITS)
     rows = (
@@ -207,42 +289,39 @@ def _bitmap(hashes: DataFrame) -> np.ndarray:
     return words.view(np.uint64)
 
 
-def _listed(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+def _full(sieve: np.ndarray) -> bool:
+    return int(np.bitwise_count(sieve).sum()) > FULL * (1 << BITMAP_BITS)
+
+
+def _listed(sieve: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     cell = hashes.view(np.uint64) >> np.uint64(64 - BITMAP_BITS)
-    return (bitmap[(cell >> np.uint64(6)).astype(np.int64)] >> (cell & np.uint64(63)) & np.uint64(1)).astype(bool)
+    return (sieve[(cell >> np.uint64(6)).astype(np.int64)] >> (cell & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
 def _equal(*pairs: tuple[str, str]):
     return reduce(operator.and_, [F.col(a) == F.col(b) for a, b in pairs])
 
 
-def repeated_positions(index: FingerprintIndex, texts: DataFrame) -> DataFrame:
-    """``did, tag, marks``: for each text with repeats a list of ``2 * position + kind``.
-
-    Kind 0: all windows around the part at that word are repeated; kind 1: the
-    window that starts there is. ``texts`` must hold every document that was
-    added to the index (only its borders are read again).
-    """
-    entries, window, part, spark = index.entries(), index.window, index.part, index.spark
-    often = stored(entries.groupBy("part").agg(F.count("*").alias("n")).where("n > 1").select("part"))
-    recurs = spark.sparkContext.broadcast(_bitmap(often))  # at most 16 MB, like the others below
+WINDOW_SCHEMA = "w long, v long, k1 long, k2 long, at int"
 
-    def recurring(batches):
-        for batch in batches:
-            yield batch.filter(pa.array(_listed(recurs.value, batch.column(0).to_numpy())))
 
-    # nearly all parts that occur once stay out of the shuffles; the joins below are exact
-    hits = arrow_map(entries, recurring, RUN_SCHEMA)
-    counted = stored(hits.groupBy("part", "context").agg(F.count("*").alias("n")))
-    inside = counted.where("n > 1").select(F.col("part").alias("p"), F.col("context").alias("c"))
-    whole = hits.join(inside, _equal(("part", "p"), ("context", "c")), "left_semi").select("did", "tag", (F.col("at") * 2).alias("mark"))
-    alone = counted.where("n = 1").select("part").join(often.select(F.col("part").alias("p")), _equal(("part", "p")), "left_semi")
-    borders = spark.sparkContext.broadcast(_bitmap(alone))
+def _border_windows(texts: DataFrame, hits: DataFrame, alone: DataFrame, window: int, part: int, folder: str) -> DataFrame:
+    """Hashes of the windows of ``texts(k1, k2, text)`` around the parts in ``alone``, and perhaps of some others."""
+    sieve = _sieve(alone)
+    exact = _full(sieve)
+    listed = None if exact else texts.sparkSession.sparkContext.broadcast(sieve)
 
-    def windows(batches):
+    def around(batches):
         for batch in slices(batches, 256):
             found = Windows(binary_values(batch.column(2)), window, part)
-            hit = np.flatnonzero(_listed(borders.value, found.part))
+            if exact:
+                parts = batch.column(3)
+                mine = [np.asarray(parts[k].values, dtype=np.int64) for k in range(batch.num_rows)]
+                ends = np.searchsorted(found.row, np.arange(batch.num_rows + 1))
+                some = [np.flatnonzero(np.isin(found.part[a:b].view(np.int64), m)) + a for a, b, m in zip(ends[:-1], ends[1:], mine, strict=True)]
+                hit = np.concatenate(some) if some else np.zeros(0, np.int64)
+            else:
+                hit = np.flatnonzero(_listed(listed.value, found.part))
             n = found.high[hit] - found.low[hit] + 1
             row = np.repeat(found.row[hit], n)
             begins = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(found.low[hit], n)
@@ -253,14 +332,53 @@ def repeated_positions(index: FingerprintIndex, texts: DataFrame) -> DataFrame:
                     _signed(found.first.hash(begins, begins + window)), _signed(found.second.hash(begins, begins + window)),
                     _take(batch.column(0), row), _take(batch.column(1), row), pa.array((begins - found.starts[row]).astype(np.int32)),
                 ],
-                ["w", "v", "did", "tag", "at"],
+                ["w", "v", "k1", "k2", "at"],
             )
 
-    single = stored(arrow_map(_keyed(texts), windows, "w long, v long, did long, tag int, at int"))
+    if exact:  # a document's own border parts go to its text
+        near = hits.join(alone.select(F.col("part").alias("p")), _equal(("part", "p")), "left_semi")
+        own = stored(near.groupBy(F.col("k1").alias("h1"), F.col("k2").alias("h2")).agg(F.collect_set("part").alias("parts")), folder)
+        texts = texts.join(own, _equal(("k1", "h1"), ("k2", "h2"))).select("k1", "k2", "text", "parts")
+    return arrow_map(texts, around, WINDOW_SCHEMA)
+
+
+def repeated_positions(index: FingerprintIndex, docs: DataFrame, folder: str, history: DataFrame | None = None, batches: list[str] | None = None) -> DataFrame:
+    """``k1, k2, marks``: for each text with repeats a list of ``2 * position + kind``.
+
+    Kind 0: all windows around the part at that word are repeated; kind 1: the
+    window that starts there is. ``docs`` and ``history`` must hold every
+    document of the index. Only what the named ``batches`` found to recur is
+    looked at (all, if None); of ``history`` only documents that hold the border
+    of such a repeat are worked on. The result reads tables in ``folder``.
+    """
+    window, part, spark = index.window, index.part, index.spark
+    often = stored(index.repeated_parts(batches), folder)
+    sieve = _sieve(often)
+    entries = index.entries()
+    if not _full(sieve):
+        recurs = spark.sparkContext.broadcast(sieve)  # at most 16 MB, like the others
+
+        def recurring(rows):
+            for batch in rows:
+                yield batch.filter(pa.array(_listed(recurs.value, batch.column(0).to_numpy())))
+
+        # nearly all parts that occur once stay out of the shuffles; the joins below are exact
+        entries = arrow_map(entries, recurring, POSITION_SCHEMA)
+    hits = entries
+    counted = stored(hits.groupBy("part", "context").agg(F.count("*").alias("n")), folder)
+    inside = counted.where("n > 1").select(F.col("part").alias("p"), F.col("context").alias("c"))
+    whole = hits.join(inside, _equal(("part", "p"), ("context", "c")), "left_semi").select("k1", "k2", (F.col("at") * 2).alias("mark"))
+    alone = stored(counted.where("n = 1").select("part").distinct().join(often.select(F.col("part").alias("p")), _equal(("part", "p")), "left_semi"), folder)
+    texts = _keyed(docs)
+    if history is not None:
+        near = hits.join(alone.select(F.col("part").alias("p")), _equal(("part", "p")), "left_semi")
+        own = stored(near.select(F.col("k1").alias("h1"), F.col("k2").alias("h2")).distinct(), folder)
+        texts = texts.unionByName(_keyed(history).join(own, _equal(("k1", "h1"), ("k2", "h2")), "left_semi"))
+    single = stored(_border_windows(texts, hits, alone, window, part, folder), folder)
     # stored: Spark splits a skewed join only where both sides are plain exchanges
-    twice = stored(single.groupBy(F.col("w").alias("w2"), F.col("v").alias("v2")).agg(F.count("*").alias("n")).where("n > 1").select("w2", "v2"))
-    same = single.join(twice, _equal(("w", "w2"), ("v", "v2")), "left_semi").select("did", "tag", (F.col("at") * 2 + 1).alias("mark"))
-    return whole.unionByName(same).groupBy("did", "tag").agg(F.collect_set("mark").alias("marks"))
+    twice = stored(single.groupBy(F.col("w").alias("w2"), F.col("v").alias("v2")).agg(F.count("*").alias("n")).where("n > 1").select("w2", "v2"), folder)
+    same = single.join(twice, _equal(("w", "w2"), ("v", "v2")), "left_semi").select("k1", "k2", (F.col("at") * 2 + 1).alias("mark"))
+    return whole.unionByName(same).groupBy("k1", "k2").agg(F.collect_set("mark").alias("marks"))
 
 
 def _kept(text: bytes, marks, window: int, part: int) -> tuple[list[bytes], int]:
@@ -278,33 +396,37 @@ def _kept(text: bytes, marks, window: int, part: int) -> tuple[list[bytes], int]
     return [w for w, g in zip(words, gone.tolist(), strict=True) if not g], int(gone.sum())
 
 
-def _matched(docs: DataFrame, index: FingerprintIndex | None, history: DataFrame | None, window: int, part: int) -> DataFrame:
-    """``of_did, of_tag, marks`` of the documents that have repeats."""
+def _matched(docs: DataFrame, index: FingerprintIndex | None, history: DataFrame | None, window: int, part: int, batches: int) -> DataFrame:
+    """``h1, h2, marks`` of the documents that have repeats."""
     spark = docs.sparkSession
-    if index is None:
-        index = FingerprintIndex(spark, f"{ensure_checkpoint_dir(spark)}/fingerprints-{uuid.uuid4().hex}", window, part)
-    index.add(docs)
-    texts = [d.select("doc_id", "text") for d in (history, docs) if d is not None]
-    marks = repeated_positions(index, reduce(DataFrame.unionByName, texts))
-    return stored(marks.select(F.col("did").alias("of_did"), F.col("tag").alias("of_tag"), "marks"))
+    own, folder = index is None, scratch(spark, "matching")
+    if own:
+        index = FingerprintIndex(spark, f"{folder}/index", window, part)
+    rows = docs.select("doc_id", "text")
+    # every row belongs to one batch, by a hash of id and text
+    batch = F.pmod(row_key(F.col("doc_id").cast("long"), F.col("text").cast("string"))[0], F.lit(batches))
+    found = [index.add(rows.where(batch == number)) for number in range(batches)]
+    marks = repeated_positions(index, rows, folder, None if history is None else history.select("doc_id", "text"), None if own else found)
+    out = stored(marks.select(F.col("k1").alias("h1"), F.col("k2").alias("h2"), "marks"))
+    remove_folder(spark, folder)
+    return out
 
 
 def _cut(rows: DataFrame, marks: DataFrame, work, schema: T.StructType | str) -> DataFrame:
-    """``work(batches)`` over the columns of ``rows(did, tag, ...)`` but these two, and ``marks``.
+    """``work(batches)`` over the columns of ``rows(k1, k2, ...)`` but these two, and ``marks``.
 
     A bitmap tells which documents may have marks. The others are worked on
     where they are read; only these move, to meet their marks.
     """
-    mark = F.xxhash64("of_did", "of_tag").alias("h")
-    bitmap = rows.sparkSession.sparkContext.broadcast(_bitmap(marks.select(mark)))
-    kept = [c for c in rows.columns if c not in ("did", "tag")]
-    keyed = rows.select(*kept, "did", "tag", F.xxhash64("did", "tag").alias("h"))
+    sieve = rows.sparkSession.sparkContext.broadcast(_sieve(marks.select("h1")))
+    kept = [c for c in rows.columns if c not in ("k1", "k2")]
+    keyed = rows.select(*kept, "k1", "k2")
     none = pa.list_(pa.int32())
 
     def stay(batches):
         def free():
             for batch in batches:
-                left = batch.filter(pa.array(~_listed(bitmap.value, batch.column(len(kept) + 2).to_numpy())))
+                left = batch.filter(pa.array(~_listed(sieve.value, batch.column(len(kept)).to_numpy())))
                 columns = [left.column(k) for k in range(len(kept))]
                 yield pa.RecordBatch.from_arrays([*columns, pa.nulls(left.num_rows, none)], [*kept, "marks"])
 
@@ -312,30 +434,31 @@ def _cut(rows: DataFrame, marks: DataFrame, work, schema: T.StructType | str) ->
 
     def move(batches):
         for batch in batches:
-            yield batch.filter(pa.array(_listed(bitmap.value, batch.column(len(kept) + 2).to_numpy())))
+            yield batch.filter(pa.array(_listed(sieve.value, batch.column(len(kept)).to_numpy())))
 
     moved = arrow_map(keyed, move, keyed.schema)
-    met = moved.join(marks, _equal(("did", "of_did"), ("tag", "of_tag")), "left").select(*kept, "marks")
+    met = moved.join(marks, _equal(("k1", "h1"), ("k2", "h2")), "left").select(*kept, "marks")
     return arrow_map(keyed, stay, schema).unionByName(arrow_map(met, work, schema))
 
 
 def repeat_digests(
-    docs: DataFrame, index: FingerprintIndex | None = None, history: DataFrame | None = None, window: int = 35, part: int = 14
+    docs: DataFrame, index: FingerprintIndex | None = None, history: DataFrame | None = None, window: int = 35, part: int = 14, batches: int = 2
 ) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256`` of every row of ``docs(doc_id, text)``.
 
     A word goes if a window of ``window`` words that covers it also starts
     anywhere else, in ``docs`` or in what ``index`` holds. Windows are judged
-    on the input. With an index that has runs, ``history`` must hold their
-    documents; ``docs`` is added to it as one more run. Null and empty texts
+    on the input. ``docs`` is dealt into ``batches`` that go into the index one
+    after another, each merge-joined with the runs before it. With an index that
+    has runs, ``history`` must hold their documents. Null and empty texts
     have no words. Null and repeated ids are kept, and two rows that repeat one
     another are each other's copies. Other columns are ignored; an empty table
     gives no rows.
     """
-    marks = _matched(docs, index, history, window, part)
+    marks = _matched(docs, index, history, window, part, batches)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     id_ = F.col("doc_id").cast("long")
-    rows = docs.select(id_.alias("doc_id"), text.alias("text"), F.coalesce(id_, F.lit(0)).alias("did"), F.hash(text, id_.isNull()).alias("tag"))
+    rows = docs.select(id_.alias("doc_id"), text.alias("text"), *row_key(id_, text))
 
     def digest(batches):
         for batch in slices(batches, 1024):
@@ -352,7 +475,7 @@ def repeat_digests(
 
 
 def remove_repeats(
-    docs: DataFrame, index: FingerprintIndex | None = None, history: DataFrame | None = None, window: int = 35, part: int = 14
+    docs: DataFrame, index: FingerprintIndex | None = None, history: DataFrame | None = None, window: int = 35, part: int = 14, batches: int = 2
 ) -> DataFrame:
     """``docs``, all columns, with repeated windows cut out of ``text`` as in ``repeat_digests``.
 
@@ -360,10 +483,10 @@ def remove_repeats(
     ``n_chars``, if there, is their new length; other texts stay as they are.
     All rows stay, also those that lose every word.
     """
-    marks = _matched(docs, index, history, window, part)
+    marks = _matched(docs, index, history, window, part, batches)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     id_ = F.col("doc_id").cast("long")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(id_, F.lit(0)).alias("did"), F.hash(text, id_.isNull()).alias("tag"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *row_key(id_, text))
 
     def clean(batches):
         for batch in slices(batches, 1024):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from pathlib import Path
 
 import public_tokenizers
 import pytest
@@ -36,7 +37,7 @@ def docs(spark):
 @pytest.fixture(scope="module")
 def clashing(docs):
     """Columns that the operators use inside."""
-    names = ["did", "tag", "marks", "fp", "kept", "n_words", "row", "id", "root", "words", "place", "h", "score", "start", "ids"]
+    names = ["k1", "k2", "h1", "marks", "fp", "kept", "n_words", "row", "id", "root", "words", "place", "h", "score", "start", "ids"]
     return docs.withColumns({n: F.lit("clash") for n in names})
 
 
@@ -108,6 +109,25 @@ def test_simhash_links_all_near_pairs(spark):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, plain.values()))
 
 
+def test_encoders_equal_the_library():
+    """Random strings of letters with odd lower cases, marks, digits and every kind of white space."""
+    import numpy as np
+
+    from ebbflow.llm.shared import library_encoder
+
+    draw = random.Random(17)
+    letters, marks, digits = "abIZéßñİıŉǰΣσςΐΰẞﬁªºǅՙ漢字かàÁ\u0307\u0301ȩŽҐ", ".,!?;:*$%&#'\"-()<|>_", "0123456789²½Ⅷ٣"
+    spaces = ["  ", *"\n\t\r\x0b\x0c\x85\xa0\u2003\u2028\u202f\u3000\x1c\x1f\u200b\ufeff"]
+    kinds = [lambda: "".join(draw.choices(letters, k=draw.randint(1, 5))), lambda: "".join(draw.choices(marks, k=draw.randint(1, 3)))]
+    kinds += [kinds[0], lambda: draw.choice(["'s", "'re", "ALİ.", "🙂", "\u200d", "".join(draw.choices(digits, k=2))]), lambda: draw.choice(spaces), lambda: " "]
+    for path, drops_space in ((WORDS, True), (JSON, False)):
+        library, own = Tokenizer.from_file(path), library_encoder(path, drops_space)
+        for _ in range(60_000):
+            text = "".join(draw.choice(kinds)() for _ in range(draw.randint(1, 8)))
+            assert np.frombuffer(own.encode(text), dtype="<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
+    assert np.frombuffer(library_encoder(WORDS, True).encode("ALİ. geldi"), dtype="<u4").tolist() == [3558, 136, 229, 269, 7343, 1618]
+
+
 def test_token_output(spark, docs, clashing, none):
     encoder = Tokenizer.from_file(WORDS)
     for frame, texts in ((docs, TEXTS), (clashing, TEXTS), (none, [])):
@@ -171,7 +191,7 @@ def test_substring(spark, docs, clashing, none):
     assert substring.repeat_digests(none).count() == 0
     cut = substring.remove_repeats(clashing)
     assert cut.columns == clashing.columns and cut.count() == len(TEXTS)
-    assert collected(cut.where("doc_id = 6"), "text", "did") == [("e", "clash")]
+    assert collected(cut.where("doc_id = 6"), "text", "k1") == [("e", "clash")]
 
 
 def test_substring_random_overlaps(spark):
@@ -202,20 +222,62 @@ def test_substring_incremental(spark):
         index.add(old)
         found = collected(substring.repeat_digests(new, index, old), "doc_id", "n_words", "n_removed", "kept_sha256")
         assert found == sorted(whole[i] for i in range(15, 30))
-        assert len(index.runs) == (2 if most_runs == 4 else 1)
+        assert len(index.runs) == (3 if most_runs == 4 else 1) and len(index.positions) == 3
 
 
-def test_index_is_taken_up_from_its_folder(spark):
+def test_index_is_taken_up_from_its_folder(spark, tmp_path):
     frame = spark.createDataFrame([(i, f"{VOCABULARY[i]} {PASSAGE} {VOCABULARY[-i]}") for i in (1, 2, 3)], "doc_id long, text string")
     alone = spark.createDataFrame([(4, PASSAGE)], "doc_id long, text string")
     for most_runs in (4, 1):
-        path = f"{ensure_checkpoint_dir(spark)}/reopened-{most_runs}-{random.random()}"
+        path = str(tmp_path / f"reopened-{most_runs}")
         first = substring.FingerprintIndex(spark, path, most_runs=most_runs)
         first.add(frame.where("doc_id = 1"))
         first.add(frame.where("doc_id > 1"))
         again = substring.FingerprintIndex(spark, path, most_runs=most_runs)
         assert again.entries().count() == first.entries().count() and sorted(again.runs) == sorted(first.runs)
+        # a batch that was written but not committed is not part of the index
+        (Path(path) / "run_lost").mkdir()
+        assert sorted(substring.FingerprintIndex(spark, path).runs) == sorted(first.runs)
+        assert {p.name for p in Path(path).glob("run_*")} == {*first.runs, "run_lost"}
         assert substring.repeat_digests(alone, again, frame).first()["n_removed"] == 60
+        with pytest.raises(ValueError):
+            substring.FingerprintIndex(spark, path, window=20)
+
+
+def test_runs_are_merge_joined_as_they_lie(spark):
+    """No shuffle and no sort between the sorted runs of an index."""
+    index = substring.FingerprintIndex(spark, f"{ensure_checkpoint_dir(spark)}/merged-{random.random()}")
+    for k in range(2):
+        index.add(spark.createDataFrame([(k, f"{VOCABULARY[k]} {PASSAGE}")], "doc_id long, text string"))
+    with substring._file_order_trusted(spark):
+        plan = index.recurring(index.runs[1])._jdf.queryExecution().executedPlan().toString()
+        assert index.recurring(index.runs[1]).count() > 0
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+
+
+@pytest.mark.parametrize("full", [0.25, -1.0])
+def test_substring_with_and_without_sieves(spark, monkeypatch, full):
+    """Sieves that are full are left out; the result is the same."""
+    monkeypatch.setattr(substring, "FULL", full)
+    draw = random.Random(31)
+    texts = [(i, " ".join(draw.choices(VOCABULARY, k=30)) + " " + " ".join(PASSAGE.split()[draw.randint(0, 9) :]) + f" end{i}") for i in range(20)]
+    texts += [(i, None) for i in (20, 21)] + [(None, f"x{PASSAGE}"), (None, f"y{PASSAGE}"), (3, texts[3][1])]
+    frame = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    expected = sorted(((i, *found) for (i, _), found in zip(texts, brute.repeats([t for _, t in texts]), strict=True)), key=key)
+    assert collected(substring.repeat_digests(frame), "doc_id", "n_words", "n_removed", "kept_sha256") == expected
+
+
+def test_null_ids_are_told_apart(spark):
+    """Many rows without an id: each is judged by its own words, whatever 32-bit hashes they share."""
+    frame = spark.range(150_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("word "), F.col("id")).alias("text"))
+    long = spark.createDataFrame([(None, f"{PASSAGE} {k}") for k in range(2)] + [(None, " ".join(VOCABULARY[:60]))], "doc_id long, text string")
+    out = substring.repeat_digests(frame.unionByName(long))
+    assert collected(out.where("n_removed > 0"), "n_words", "n_removed") == [(61, 60), (61, 60)] and out.count() == 150_003
+    from ebbflow.llm.shared import row_key
+
+    # two texts whose 32-bit hashes are equal
+    rows = frame.select("text", F.hash("text").alias("h"), *row_key(F.col("doc_id"), F.col("text")))
+    assert rows.agg(F.count_distinct("h")).first()[0] < 150_000 and rows.select("k1", "k2").distinct().count() == 150_000
 
 
 def test_token_counts(docs, clashing, none):
