@@ -1,9 +1,11 @@
 """Connected components by alternating large-star and small-star steps (Kiveris et al., SoCC 2014).
 
-Edges stay on the executors; each round is a minimum by node, taken before the
-shuffle, and a join that Spark may split where one node has very many edges.
-Rounds are checkpointed, so lineage stays short. The number of rounds grows
-with the logarithm of the number of nodes.
+Edges stay on the executors. A step takes the minimum of each node, which
+starts before the shuffle, and hands it to the node's neighbours by a join. Both
+sides of that join are stored tables, so where one node has very many edges
+Spark's skew handling splits it (it doesn't where a side is an aggregation).
+Lineage stays short, and the number of rounds grows with the logarithm of the
+number of nodes.
 """
 
 from __future__ import annotations
@@ -14,12 +16,17 @@ from pyspark.sql import functions as F
 from ebbflow.llm.shared import cut_lineage
 
 
+def _least(ways: DataFrame) -> DataFrame:
+    """``of, m``: for each node its least neighbour or itself. Stored, so that a join with it can be split."""
+    return cut_lineage(ways.groupBy(F.col("u").alias("of")).agg(F.min("v").alias("m")).withColumn("m", F.least("m", "of")))
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """``edges(hi, lo)`` with ``hi > lo``; each node hands its least neighbour to the others."""
     ways = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v"))
     if large:
         ways = ways.unionByName(edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-    least = ways.groupBy(F.col("u").alias("of")).agg(F.min("v").alias("m")).withColumn("m", F.least("m", "of"))
+    least = _least(ways)
     met = ways.join(least, F.col("u") == F.col("of"))
     if large:
         out = met.where(F.col("v") > F.col("u")).select(F.col("v").alias("hi"), F.col("m").alias("lo"))

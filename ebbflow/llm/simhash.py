@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ebbflow.llm.components import components
-from ebbflow.llm.shared import arrow_map, binary_values, cut_lineage, slices, xxh64
+from ebbflow.llm.shared import arrow_map, binary_values, cut_lineage, row_key, slices, stored, xxh64
 
 BITS = 64
 
@@ -52,15 +52,16 @@ def fingerprint(text: bytes, size: int = 3, digest=xxh64(42)) -> bytes:
 
 
 def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
-    """``doc_id, fp`` (a signed long with the fingerprint's bits). Null texts count as empty."""
+    """``doc_id, k1, k2, fp`` (``k1, k2``: the row's key; ``fp``: a signed long with the fingerprint's bits). Null texts count as empty."""
 
     def mark(batches):
         for batch in slices(batches):
-            marks = b"".join([fingerprint(text, size) for text in binary_values(batch.column(1))])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.frombuffer(marks, dtype=">i8").astype(np.int64))], ["doc_id", "fp"])
+            marks = b"".join([fingerprint(text, size) for text in binary_values(batch.column(3))])
+            own = pa.array(np.frombuffer(marks, dtype=">i8").astype(np.int64))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), own], ["doc_id", "k1", "k2", "fp"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return arrow_map(texts, mark, "doc_id long, fp long")
+    id_, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    return arrow_map(docs.select(id_.alias("doc_id"), *row_key(id_, text), text.alias("text")), mark, "doc_id long, k1 long, k2 long, fp long")
 
 
 def _bits(fps: np.ndarray) -> np.ndarray:
@@ -249,6 +250,17 @@ def links(nodes: DataFrame, radius: int = 2, partitions: int = 4, most_candidate
     return pairs.unionByName(stars)
 
 
+def _placed(docs: DataFrame, radius: int, size: int, partitions: int, most_candidates: int) -> tuple[DataFrame, DataFrame]:
+    """Stored fingerprints of all rows, and of each distinct fingerprint ``fp`` the ``root`` of its component."""
+    if radius % 2:
+        raise ValueError("radius must be even")
+    marked = cut_lineage(fingerprints(docs, size))
+    nodes = cut_lineage(marked.groupBy("fp").agg(F.count("*").alias("rows")))
+    found = components(links(nodes.select("fp"), radius, partitions, most_candidates))
+    placed = nodes.join(found, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("mark"), F.coalesce("root", "fp").alias("root"))
+    return marked, cut_lineage(placed)  # stored: a join with it can be split where very many rows share a fingerprint
+
+
 def near_duplicates(docs: DataFrame, radius: int = 2, size: int = 3, partitions: int = 4, most_candidates: int = 256) -> DataFrame:
     """``doc_id, fingerprint, component_id`` of every row of ``docs(doc_id, text)``.
 
@@ -259,23 +271,29 @@ def near_duplicates(docs: DataFrame, radius: int = 2, size: int = 3, partitions:
     is never the least, and rows whose component has null ids alone get null.
     Other columns are ignored; an empty table gives no rows.
     """
-    if radius % 2:
-        raise ValueError("radius must be even")
-    marked = cut_lineage(fingerprints(docs, size))
-    nodes = cut_lineage(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    found = components(links(nodes, radius, partitions, most_candidates))
-    placed = nodes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = placed.groupBy(F.col("root").alias("of")).agg(F.min("first").alias("component_id"))
-    ids = placed.join(least, F.col("root") == F.col("of")).select(F.col("fp").alias("mark"), "component_id")
+    marked, placed = _placed(docs, radius, size, partitions, most_candidates)
+    rooted = marked.groupBy("fp").agg(F.min("doc_id").alias("first")).join(placed, F.col("fp") == F.col("mark"))
+    least = cut_lineage(rooted.groupBy(F.col("root").alias("of")).agg(F.min("first").alias("component_id")))
+    ids = cut_lineage(placed.join(least, F.col("root") == F.col("of")).select("mark", "component_id"))
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return marked.join(ids, F.col("fp") == F.col("mark")).select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, radius: int = 2, size: int = 3) -> DataFrame:
-    """Rows of ``docs``, all columns: of each component the row with its least ``doc_id``.
+def keep_one(docs: DataFrame, radius: int = 2, size: int = 3, partitions: int = 4, most_candidates: int = 256) -> DataFrame:
+    """Rows of ``docs``, all columns: of each component one row, that of the least ``doc_id`` (null last).
 
-    Rows that repeat this id stay together, and so do rows with null ids.
+    Rows are judged one by one, also where ids repeat: of equal ids in one
+    component the row with the least hash of its text stays, while the same id
+    in another component isn't touched. Rows alike in both id and text are one
+    row, and stay or go together.
     """
-    gone = near_duplicates(docs, radius, size).where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone")).distinct()
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"))
-    return held.join(gone, F.col("id") == F.col("gone"), "left_anti").select("row.*")
+    marked, placed = _placed(docs, radius, size, partitions, most_candidates)
+    rank = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "k1", "k2")
+    first = marked.groupBy("fp").agg(F.min(rank).alias("first")).join(placed, F.col("fp") == F.col("mark"))
+    stays = first.groupBy("root").agg(F.min("first").alias("first"))
+    one = stored(stays.select(F.col("first.k1").alias("h1"), F.col("first.k2").alias("h2")))
+    same = (F.col("k1") == F.col("h1")) & (F.col("k2") == F.col("h2"))
+    gone = stored(marked.join(one, same, "left_anti").select(F.col("k1").alias("h1"), F.col("k2").alias("h2")).distinct())
+    id_, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *row_key(id_, text))
+    return held.join(gone, same, "left_anti").select("row.*")

@@ -78,6 +78,35 @@ def test_simhash(docs, clashing, none):
     assert simhash.keep_one(none).count() == 0
 
 
+def test_simhash_keeps_rows_without_duplicates(spark):
+    """An id that occurs on a copy and on another text: the other text stays."""
+    a, b = " ".join(VOCABULARY[:40]), " ".join(VOCABULARY[100:140])
+    rows = [(1, a), (7, a), (7, b), (1, b[::-1]), (None, a), (None, "alone in the world"), (9, "alone in the world"), (None, None), (None, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = collected(simhash.keep_one(frame), "doc_id", "text")
+    # a null text is an empty one, so the last two rows are alike
+    assert kept == sorted([(1, a), (7, b), (1, b[::-1]), (9, "alone in the world"), (None, None), (None, "")], key=key)
+
+
+def test_hub_joins_are_split(spark):
+    """A node with very many edges: Spark splits the join that hands it its least neighbour."""
+    from ebbflow.llm import components
+
+    settings = {"adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k", "adaptive.advisoryPartitionSizeInBytes": "64k", "adaptive.skewJoin.skewedPartitionFactor": "1.5", "autoBroadcastJoinThreshold": "-1", "shuffle.partitions": "8"}
+    before = {k: spark.conf.get(f"spark.sql.{k}") for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(f"spark.sql.{k}", v)
+    try:
+        edges = spark.range(1, 200_001).select(F.col("id").alias("hi"), F.lit(0).cast("long").alias("lo"))
+        out = components._star(edges, True)
+        assert out.count() == 200_000
+        rows = out.collect()
+        assert "skew=true" in out._jdf.queryExecution().executedPlan().toString() and len(rows) == 200_000
+    finally:
+        for k, v in before.items():
+            spark.conf.set(f"spark.sql.{k}", v)
+
+
 def test_simhash_links_all_near_pairs(spark):
     """Random fingerprints in clusters of every shape, with a crowd that no bucket may gather."""
     from ebbflow.llm.components import components
