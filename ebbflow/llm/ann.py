@@ -12,13 +12,15 @@ Identical vectors are one row of the index, with their least ids: no group of
 copies fills the places of a block, and ties within it go to the smaller ids.
 Every distinct vector is encoded, on the executors. Queries go out in blocks of a fixed
 size, each meeting all rows once; a task returns ``k`` exact neighbours for each
-query and block of rows, so what is shuffled is k rows for each query and task.
+query and block of rows, so what is shuffled is k rows for each query and block.
+Work is queries x rows. Coarse cells would cut it only where vectors cluster; the
+README has the figures. Vectors are scaled by powers of two before any square.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ebbflow.llm.shared import arrow_map, cut_lineage, slices
+from ebbflow.llm.shared import arrow_map, cut_lineage, slices, stored
 
 SAMPLE_ROWS = 8192
 QUERY_BLOCK = 2048
@@ -37,8 +39,23 @@ ENCODE_ROWS = 512
 CODEBOOKS = 12
 
 
+#: Query blocks of one plan; each has a broadcast and a branch of the plan.
+PLAN_BLOCKS = 32
+
+
+def _scaled(values: np.ndarray) -> np.ndarray:
+    """Rows times a power of two that brings their largest number to between 0.5 and 1: the cosine is the same to the bit, and squares neither overflow nor vanish."""
+    _, exponent = np.frexp(np.abs(values).max(axis=1, keepdims=True))
+    return np.ldexp(values, -exponent)
+
+
+def _lengths(values: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.add.reduce(values * values, axis=1))
+
+
 def _unit(values: np.ndarray) -> np.ndarray:
-    return values / np.linalg.norm(values, axis=1, keepdims=True)
+    values = _scaled(values)
+    return values / _lengths(values)[:, None]
 
 
 def _kmeans(values: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
@@ -60,7 +77,7 @@ class Codebooks:
     """``words``: codebooks x codewords x dimensions."""
 
     words: np.ndarray
-    beam: int = 4
+    beam: int = 8
 
     @property
     def dimension(self) -> int:
@@ -115,7 +132,7 @@ class Codebooks:
         return total / np.maximum(norms, 1e-12)[:, None].astype(np.float32)
 
 
-def fit_codebooks(sample: np.ndarray, codebooks: int = CODEBOOKS, codewords: int = 256, rounds: int = 8, beam: int = 4, seed: int = 7) -> Codebooks:
+def fit_codebooks(sample: np.ndarray, codebooks: int = CODEBOOKS, codewords: int = 256, rounds: int = 8, beam: int = 8, seed: int = 7) -> Codebooks:
     """Residual k-means for each codebook in turn, then least squares for all codewords at once with the codes held."""
     units = _unit(np.asarray(sample, dtype=np.float64))
     rng = np.random.default_rng(seed)
@@ -164,7 +181,7 @@ def distinct_vectors(rows: DataFrame, most_ids: int) -> DataFrame:
     return kept.groupBy("mark", "embedding").agg(F.collect_set("vec_id").alias("ids")).select("ids", "embedding")
 
 
-def build_index(vectors: DataFrame, sample_rows: int = SAMPLE_ROWS, codebooks: int = CODEBOOKS, beam: int = 4, most_ids: int = 6, **settings) -> tuple[Codebooks | None, DataFrame | None]:
+def build_index(vectors: DataFrame, sample_rows: int = SAMPLE_ROWS, codebooks: int = CODEBOOKS, beam: int = 8, most_ids: int = 6, **settings) -> tuple[Codebooks | None, DataFrame | None]:
     """Codebooks and the stored index ``ids, embedding, codes, norm`` of every distinct usable vector.
 
     ``ids``: the ``most_ids`` least ids of the vector, one more than the neighbours to be searched for.
@@ -208,25 +225,28 @@ def search(model: Codebooks, index: DataFrame, queries: DataFrame, k: int = 5, r
     spark, d = index.sparkSession, model.dimension
     asked = cut_lineage(usable(queries).where(F.size("embedding") == d).groupBy("vec_id").agg(F.min("embedding").alias("embedding")))
     total = asked.count()
-    numbered = asked.select("*", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, -(-total // block)))).alias("block"))
-    found = []
-    for number in range(-(-total // block)):
+    blocks = -(-total // block)
+    numbered = asked.select("*", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, blocks))).alias("block"))
+    found, groups = [], []
+    for number in range(blocks):
         # a block holds about `block` queries: a fixed size, whatever the number of rows
         part = numbered.where(F.col("block") == number).orderBy("vec_id").select("vec_id", "embedding").toArrow()
+        if not part.num_rows:
+            continue
         ids = part.column("vec_id").to_numpy()
         held = spark.sparkContext.broadcast((ids, _vectors(part.column("embedding").combine_chunks(), d)))
 
         def look(batches, held=held):
             ids, values = held.value
-            units = _unit(values)
-            lengths = np.linalg.norm(values, axis=1)
+            units, values = _unit(values), _scaled(values)
+            lengths = _lengths(values)
             for batch in slices(batches, ROW_BLOCK, 1 << 24):
                 own, held_ids = batch.column(0).flatten().to_numpy(), batch.column(0).value_lengths().to_numpy().astype(np.int64)
                 first = np.cumsum(held_ids) - held_ids
                 lone = np.flatnonzero(held_ids == 1)
-                rows = _vectors(batch.column(1), d)
+                rows = _scaled(_vectors(batch.column(1), d))
                 codes = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.uint8).reshape(len(rows), -1)
-                norms, sizes = batch.column(3).to_numpy(), np.linalg.norm(rows, axis=1)
+                norms, sizes = batch.column(3).to_numpy(), _lengths(rows)
                 out_q, out_v, out_s = [], [], []
                 for start in range(0, len(ids), 256):
                     near = model.scores(units[start : start + 256], codes, norms)
@@ -236,7 +256,8 @@ def search(model: Codebooks, index: DataFrame, queries: DataFrame, k: int = 5, r
                     best = np.argpartition(-near, keep - 1, axis=0)[:keep]
                     for q in range(best.shape[1]):
                         at = best[:, q]
-                        exact = rows[at] @ values[start + q] / (sizes[at] * lengths[start + q])
+                        # summed along each row by itself: a score doesn't depend on where its row stands
+                        exact = np.add.reduce(rows[at] * values[start + q], axis=1) / (sizes[at] * lengths[start + q])
                         # a vector's score stands for each of its ids
                         many = held_ids[at]
                         names = own[np.arange(many.sum()) + np.repeat(first[at] - (np.cumsum(many) - many), many)]
@@ -251,11 +272,12 @@ def search(model: Codebooks, index: DataFrame, queries: DataFrame, k: int = 5, r
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_q, out_v, out_s)], ["query_id", "vec_id", "score"])
 
         found.append(arrow_map(index, look, RESULT_SCHEMA))
-    if not found:
+        if len(found) == PLAN_BLOCKS:  # what was found so far is stored, so a plan stays small
+            groups.append(stored(reduce(DataFrame.unionByName, found)))
+            found = []
+    if not found and not groups:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    union = found[0]
-    for other in found[1:]:
-        union = union.unionByName(other)
+    union = reduce(DataFrame.unionByName, groups + found)
     best = union.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -416,6 +416,40 @@ def test_nearest_neighbours(spark):
     assert ann.nearest(few.where("vec_id = 0")).count() == 0
 
 
+@pytest.mark.parametrize("plan_blocks", [2, 32])
+def test_nearest_neighbours_in_several_blocks(spark, monkeypatch, plan_blocks):
+    """Several blocks of queries and of rows, with vectors from 1e-300 to 1e300."""
+    import numpy as np
+
+    monkeypatch.setattr(ann, "PLAN_BLOCKS", plan_blocks)
+    monkeypatch.setattr(ann, "ROW_BLOCK", 500)
+    draw = np.random.default_rng(8)
+    vectors = draw.standard_normal((4000, 16))
+    power = np.full(4000, 0)
+    power[::7], power[3::7], power[5::70] = -990, 660, 1010
+    sizes = np.ldexp(vectors, power[:, None])
+    frame = spark.createDataFrame([(i, [float(v) for v in vec]) for i, vec in enumerate(sizes)], "vec_id long, embedding array<double>").coalesce(1)
+    model, index = ann.build_index(frame)
+    out = ann.search(model, index, frame.where("vec_id % 20 = 0"), rerank=40, block=60)
+    found: dict = {}
+    for r in out.orderBy("query_id", "rank").collect():
+        found.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    expected = brute.nearest(np.arange(4000), vectors, every=20)
+    assert sorted(found) == sorted(expected) and all(len(v) == 5 for v in found.values())
+    hits = sum(len({v for v, _ in found[q]} & {v for v, _ in expected[q]}) for q in expected)
+    assert hits >= 0.9 * 5 * len(expected)
+    exact = {(q, v): s for q in expected for v, s in expected[q]}
+    assert all(abs(exact[q, v] - s) < 1e-12 for q, near in found.items() for v, s in near if (q, v) in exact)
+
+
+def test_cosines_of_very_large_and_small_vectors(spark):
+    rows = [(0, [1.0, 2.0]), (1, [1e-200, 2e-200]), (2, [1e200, 2e200]), (3, [5e-324, 0.0]), (4, [1.7e308, 1.7e308]), (5, [-1e-310, 0.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = {r["vec_id"]: r["score"] for r in ann.nearest(frame).collect()}
+    expected = {1: 1.0, 2: 1.0, 3: 5**-0.5, 4: 3 / 10**0.5, 5: -(5**-0.5)}
+    assert found.keys() == expected.keys() and all(abs(found[v] - s) < 1e-12 for v, s in expected.items())
+
+
 def test_nearest_neighbours_of_many_copies(spark):
     import numpy as np
 
