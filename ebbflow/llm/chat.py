@@ -185,3 +185,27 @@ def _digests(rows: list[tuple]) -> pa.RecordBatch:
     kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_())
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "valid"]
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
+
+
+def digests_sql(rows: str, template: Template) -> str:
+    """What ``formatted_digests`` returns for the conversations of the query ``rows``, in DuckDB's SQL."""
+    quoted = lambda text: "'" + text.replace("'", "''") + "'"
+    fixed = len(template.opening.replace("{role}", "")) + len(template.closing)
+    escaped = " + ".join(f"length(said) - length(replace(said, {quoted(sign)}, ''))" for sign in template.signs)
+    learned = ", ".join(map(quoted, sorted(template.learned)))
+    allowed = " OR ".join(
+        f"(coalesce(before, 'start') = {quoted(state)} AND role IN ({', '.join(map(quoted, sorted(roles)))}))" for state, roles in template.transitions.items()
+    )
+    final = ", ".join(map(quoted, sorted(template.final)))
+    return f"""
+WITH turns AS (
+    SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS n,
+        coalesce(role, '') AS role, coalesce(text, '') AS text, coalesce(role, '') || coalesce(text, '') AS said FROM ({rows})
+),
+placed AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY n) AS before FROM turns)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
+    coalesce(sum(length(text)) FILTER (WHERE role IN ({learned})), 0)::BIGINT AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (WHERE role IN ({learned})), '')) AS loss_sha256,
+    sum({fixed} + length(said) + {escaped})::BIGINT AS formatted_chars,
+    bool_and({allowed}) AND arg_max(role, n) IN ({final}) AS valid
+FROM placed GROUP BY conv_id"""

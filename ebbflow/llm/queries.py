@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ebbflow.llm import ann, byte_bpe, chat, packing, quality_classifier, quality_rules, simhash, substring, token_counts, token_output
-from ebbflow.llm.shared import ensure_checkpoint_dir
+from ebbflow.llm.shared import scratch, stored
 
 
 def tokenizer_path(name: str) -> str:
@@ -32,7 +31,7 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{ensure_checkpoint_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    path = scratch(spark, "tokens")
     token_output.write_token_files(
         table(spark, sf_dir, "documents"), path, tokenizer_path("word_bpe_49k.json"), end_id=2, drops_space=True
     )
@@ -66,7 +65,7 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
     template = chat.Template()
-    return chat.formatted_digests(chat.format_conversations(rows, template), template)
+    return chat.formatted_digests(stored(chat.format_conversations(rows, template)), template)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,4 +95,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality_rules.rules_sql()}
+    return {
+        "op1_quality_rules": quality_rules.rules_sql(),
+        "op5_substring": substring.digests_sql("documents", window=35),
+        "op8_chat_format": chat.digests_sql(
+            """SELECT conv_id, turn, role, text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok'""",
+            chat.Template(),
+        ),
+    }

@@ -49,7 +49,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ebbflow.llm.shared import arrow_map, binary_values, mix64, remove_folder, row_key, scratch, shuffle_width, slices, stored, xxh64
+from ebbflow.llm.shared import WORD_PATTERN, arrow_map, binary_values, mix64, remove_folder, row_key, scratch, shuffle_width, slices, stored, xxh64
 
 BITMAP_BITS = 27
 #: A sieve that holds more than this share of its bits lets too much through.
@@ -505,3 +505,20 @@ def remove_repeats(
     if "n_chars" in named:
         named["n_chars"] = F.when(F.col("cut").isNull(), F.col("row.n_chars")).otherwise(F.length("cut")).cast(docs.schema["n_chars"].dataType).alias("n_chars")
     return cut.select(*named.values())
+
+
+def digests_sql(table: str, window: int) -> str:
+    """What ``repeat_digests`` returns for a table whose ids are distinct, in DuckDB's SQL: every window spelled out."""
+    return f"""
+WITH texts AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD_PATTERN}') AS words FROM {table}),
+starts AS (SELECT doc_id, unnest(range(1, len(words) - {window - 2})) AS place, words FROM texts WHERE len(words) >= {window}),
+windows AS (SELECT doc_id, place, array_to_string(words[place:place + {window - 1}], ' ') AS said FROM starts),
+repeated AS (SELECT doc_id, place FROM windows WHERE said IN (SELECT said FROM windows GROUP BY said HAVING count(*) > 1)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(place, place + {window})) AS place FROM repeated),
+spread AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS place FROM texts),
+kept AS (
+    SELECT doc_id, count(g.place) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY s.place) FILTER (WHERE g.place IS NULL), '') AS said
+    FROM spread AS s LEFT JOIN gone AS g USING (doc_id, place) GROUP BY doc_id
+)
+SELECT t.doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(said, '')) AS kept_sha256
+FROM texts AS t LEFT JOIN kept USING (doc_id)"""

@@ -60,6 +60,17 @@ def _encoder(tokenizer_path: str, end_id: int, drops_space: bool):
     return encode
 
 
+#: Texts of one file, as Spark estimates the table's size; a task holds one file's sort.
+FILE_BYTES = 128 << 20
+
+
+def file_count(docs: DataFrame) -> int:
+    """At least one file for each shuffle partition, and more where the table's estimated size calls for them."""
+    size = docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    known = size < 1 << 60  # Spark's stand-in for tables of unknown size is 2**63 - 1
+    return max(shuffle_width(docs.sparkSession), -(-size // FILE_BYTES) if known else 1)
+
+
 def write_token_files(
     docs: DataFrame, path: str, tokenizer_path: str, end_id: int, drops_space: bool, files: int | None = None
 ) -> None:
@@ -67,11 +78,12 @@ def write_token_files(
 
     Null texts count as empty and so hold the end id alone. Null ids sort
     first; equal ids are all kept, ordered by a hash of their text. Other
-    columns are ignored. An empty table writes no documents.
+    columns are ignored. An empty table writes no documents. Without ``files``
+    their number follows the table's size.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
-    ranged = rows.repartitionByRange(files or shuffle_width(docs.sparkSession), *order).sortWithinPartitions(*order)
+    ranged = rows.repartitionByRange(files or file_count(rows), *order).sortWithinPartitions(*order)
     encoded = arrow_map(ranged, _encoder(tokenizer_path, end_id, drops_space), FILE_SCHEMA, encodes=True)
     encoded.write.mode("errorifexists").options(**ORC_OPTIONS).orc(path)
 

@@ -393,6 +393,35 @@ def test_packing(docs, clashing, none):
         packing.decompose(5, 1000)
 
 
+def test_buckets_hold_one_length_each(spark, docs, tmp_path):
+    pieces = packing.pack(docs, JSON, 1)
+    packing.write_buckets(pieces, str(tmp_path / "buckets"))
+    back = spark.read.parquet(str(tmp_path / "buckets"))
+    assert back.where(F.size("ids") != F.expr("shiftleft(1, bucket)")).count() == 0
+    assert collected(back, "doc_id", "start", "ids") == collected(pieces, "doc_id", "start", "ids")
+
+
+def test_token_files_follow_the_size_and_lookups_skip_stripes(spark, tmp_path, monkeypatch):
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    docs.write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    monkeypatch.setattr(token_output, "FILE_BYTES", 1 << 14)
+    path = str(tmp_path / "tokens")
+    token_output.write_token_files(docs, path, WORDS, end_id=2, drops_space=True)
+    files = list((tmp_path / "tokens").glob("*.orc"))
+    assert len(files) == token_output.file_count(docs.select("doc_id", "text")) > 4
+    found = token_output.lookup(spark, path, [777])
+    assert found.count() == 1
+    scan = found._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(doc_id,777)], ReadSchema" in scan
+    import pyarrow.orc as orc
+
+    # ranges of ids don't overlap, so a stripe's own least and greatest id rule it out
+    spans = sorted((min(ids), max(ids)) for ids in (orc.ORCFile(str(f)).read(columns=["doc_id"]).column(0).to_pylist() for f in files) if ids)
+    assert all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
+    assert any(b"doc_id" in f.read_bytes() for f in files)
+
+
 def test_nearest_neighbours(spark):
     import numpy as np
 

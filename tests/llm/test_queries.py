@@ -46,6 +46,17 @@ def test_quality_rules(spark, documents):
     assert [tuple(r) for r in out.select(*names).orderBy("doc_id").collect()] == expected
 
 
+@pytest.mark.parametrize("name", ["op5_substring", "op8_chat_format"])
+def test_sql(spark, name):
+    con = duckdb.connect()
+    for table in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
+    out = run(spark, name)
+    names = sorted(out.columns)
+    expected = con.execute(f"SELECT {', '.join(names)} FROM ({queries.oracle_sql()[name]})").fetchall()
+    assert sorted(tuple(r) for r in out.select(*names).collect()) == sorted(expected)
+
+
 def test_simhash(spark, documents):
     assert collected(run(spark, "op2_"), "doc_id", "fingerprint", "component_id") == sorted(brute.components_of_rows(documents))
 
