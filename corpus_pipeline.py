@@ -7,13 +7,11 @@ executor costs one stage's tasks and not the run.
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ebbflow.llm import packing, quality_classifier, quality_rules, simhash, substring
-from ebbflow.llm.shared import ensure_checkpoint_dir
+from ebbflow.llm.shared import scratch
 
 #: A document goes if the model holds it for bad rather than good.
 LEAST_SCORE = 0.5
@@ -59,7 +57,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole ``documents`` table, each written as Parquet and reread by the next."""
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder = scratch(spark, "pipeline")
     for name, stage in STAGES:
         stage(spark, rows, sf_dir).write.parquet(f"{folder}/{name}")
         rows = spark.read.parquet(f"{folder}/{name}")
