@@ -363,7 +363,7 @@ def repeated_positions(index: FingerprintIndex, docs: DataFrame, folder: str, hi
                 yield batch.filter(pa.array(_listed(recurs.value, batch.column(0).to_numpy())))
 
         # nearly all parts that occur once stay out of the shuffles; the joins below are exact
-        entries = arrow_map(entries, recurring, POSITION_SCHEMA)
+        entries = stored(arrow_map(entries, recurring, POSITION_SCHEMA), folder)
     hits = entries
     counted = stored(hits.groupBy("part", "context").agg(F.count("*").alias("n")), folder)
     inside = counted.where("n > 1").select(F.col("part").alias("p"), F.col("context").alias("c"))
