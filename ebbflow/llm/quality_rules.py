@@ -3,7 +3,9 @@
 Each text gives two histograms: its characters by class and its words over a
 language's common words and "any other". Their Jensen-Shannon distances
 (base 2, 0 to 1) to each language reference are compared, and the nearest
-reference counts. Short texts have noisy histograms, so either test applies
+reference counts, whatever language a row is said to be in. The default
+references are approximate shares typed in by hand from general knowledge of the
+four languages, not measured on a corpus; ``Rules`` takes others. Short texts have noisy histograms, so either test applies
 only from a minimal length on.
 
 Everything is a function of one row: no shuffle, no Python worker. Windows of
