@@ -8,6 +8,8 @@ Scoring is a projection: no shuffle and no Python worker.
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import add
 from typing import Any
 
 import numpy as np
@@ -17,7 +19,15 @@ from pyspark.sql import functions as F
 from ebbflow.functions.expressions import bind, total, vector
 from ebbflow.operators.base import Fitted, Sequential
 from ebbflow.operators.linear import with_state
-from ebbflow.plans.layout import Layout, Names
+from ebbflow.plans.layout import Layout, Names, masked
+
+
+#: Numbers of a model that are written into expressions; beyond, the model is joined to the rows.
+MOST_CONSTANTS = 2048
+
+
+def _log(value: float) -> Column:
+    return F.lit(math.log(value) if value > 0 else None).cast("double")
 
 
 class NaiveBayes(Sequential):
@@ -41,6 +51,10 @@ class NaiveBayes(Sequential):
     def log_likelihood(self, c: Column, x: Column) -> Column:
         raise NotImplementedError
 
+    def terms(self, c: dict, x: list[Column]) -> list[Column]:
+        """What ``log_likelihood`` adds up for each feature, given a class's numbers."""
+        raise NotImplementedError
+
     def merged(self, d: int) -> dict[str, list[Column]]:
         """Aggregates that merge the rows ``n, <parts>`` of one class."""
         raise NotImplementedError
@@ -50,16 +64,13 @@ class NaiveBayes(Sequential):
         if target is None:
             raise ValueError(f"{type(self).__name__} needs a target")
         at = Layout.of(df, features, target, order_by, key, ordered=False, exclude=exclude)
-        x = [F.col(f"`{f}`").cast("double") for f in at.features]
-        label = F.col(f"`{target}`").cast("int")
-        known = label.isNotNull()
-        for v in x:
-            known = known & v.isNotNull() & ~F.isnan(v)
-        keys = [F.col(f"`{k}`") for k in at.key]
-        parts = self.sums(x)
-        by_class = df.where(known).groupBy(*keys, label.alias("__label")).agg(
-            F.count("*").alias("__n"), *[v.alias(f"__{p}_{i}") for p, values in parts.items() for i, v in enumerate(values)]
-        )
+        d = len(at.features)
+        rows = masked(df, at.key, [F.col(f"`{f}`").cast("double") for f in at.features] + [F.col(f"`{target}`").cast("int")])
+        parts = self.sums([F.col(f"__v{i}") for i in range(d)])
+        label = F.col(f"__v{d}").cast("int").alias("__label")
+        by_class = rows.groupBy(*[F.col(f"__k{i}").alias(k) for i, k in enumerate(at.key)], label).agg(
+            F.count(f"__v{d}").alias("__n"), *[v.alias(f"__{p}_{i}") for p, values in parts.items() for i, v in enumerate(values)]
+        ).where("__n > 0")
         made = FittedNaiveBayes(self, at, self._gathered(by_class, at))
         return made if state is None else made.merge(FittedNaiveBayes(self, at, state))
 
@@ -148,7 +159,16 @@ class FittedNaiveBayes(Fitted):
     op: NaiveBayes
 
     def predict(self, df: DataFrame) -> DataFrame:
-        """All columns of ``df`` with ``y_pred`` and ``proba``; label 0 and an empty map from an empty model."""
+        """All columns of ``df`` with ``y_pred`` and ``proba``; label 0 and an empty map from an empty model.
+
+        A single model of moderate size goes into the compiled expressions as
+        constants; models by key meet their rows in a join.
+        """
+        if not self.layout.key:
+            held = self.state.limit(1).collect()
+            model = held[0].asDict(recursive=True) if held else {"n": 0, "classes": []}
+            if len(model["classes"] or []) * len(self.layout.features) <= MOST_CONSTANTS:
+                return self._unrolled(df, model)
         x = vector([F.col(f"`{f}`") for f in self.layout.features])
         met = with_state(df, self.state.withColumnsRenamed({"n": "__n", "classes": "__classes"}), self.layout.key)
         label, proba = self.op.predict_columns(F.col("__classes"), F.col("__n"), F.col("__x"))
@@ -156,6 +176,25 @@ class FittedNaiveBayes(Fitted):
         out = met.withColumn("__x", x)
         return out.select(*[F.col(f"`{c}`") for c in df.columns], F.when(known, label).alias("y_pred"), F.when(known, proba).alias("proba"))
 
+    def _unrolled(self, df: DataFrame, model: dict) -> DataFrame:
+        """A projection for each step: scores in compiled code, then their maximum and shares."""
+        columns, d = [F.col(f"`{c}`") for c in df.columns], len(self.layout.features)
+        rows = df.select("*", *[F.col(f"`{f}`").cast("double").alias(f"__nb_v{i}") for i, f in enumerate(self.layout.features)])
+        known = " AND ".join(f"__nb_v{i} IS NOT NULL AND NOT isnan(__nb_v{i})" for i in range(d)) or "true"
+        classes = sorted(model["classes"] or [], key=lambda c: c["label"])
+        if not model["n"]:
+            return rows.select(*columns, F.expr(f"CASE WHEN {known} THEN 0 END AS y_pred"), F.expr(f"CASE WHEN {known} THEN CAST(map() AS map<int,double>) END AS proba"))
+        x = [F.col(f"__nb_v{i}") for i in range(d)]
+        scores = [F.lit(math.log(c["n"] / model["n"])) + reduce(add, self.op.terms(c, x), F.lit(0.0)) for c in classes]
+        # one array each: a filter on the result that Spark pushes down copies few expressions
+        rows = rows.select(*columns, F.expr(f"{known} AS __nb_known"), F.array(*scores).alias("__nb_s"))
+        rows = rows.selectExpr("*", "array_max(__nb_s) AS __nb_top")
+        rows = rows.selectExpr("*", "transform(__nb_s, v -> exp(v - __nb_top)) AS __nb_g")
+        rows = rows.selectExpr("*", "aggregate(__nb_g, 0D, (a, v) -> a + v) AS __nb_sum")
+        labels = f"array({', '.join(str(c['label']) for c in classes)})"
+        best = f"CASE WHEN __nb_known THEN coalesce(get({labels}, CAST(array_position(__nb_s, __nb_top) - 1 AS int)), {classes[0]['label']}) END AS y_pred"
+        return rows.select(*columns, F.expr(best), F.expr(f"CASE WHEN __nb_known THEN map_from_arrays({labels}, transform(__nb_g, v -> v / __nb_sum)) END AS proba"))
+
     def by_class(self) -> DataFrame:
         """Key columns, ``label``, ``n`` and a row for each feature: ``feature`` (from 0) and the parts."""
         keys = [F.col(f"`{k}`") for k in self.layout.key]
@@ -206,6 +245,15 @@ class GaussianNB(NaiveBayes):
 
         return total(F.zip_with(x, F.arrays_zip(c["mean"].alias("mean"), c["m2"].alias("m2")), term))
 
+    def terms(self, c, x):
+        out = []
+        for v, mean, m2 in zip(x, c["mean"], c["m2"], strict=True):
+            var = m2 / (c["n"] - 1) if c["n"] > 1 else 0.0
+            if var > 0:
+                gap = v - F.lit(mean)
+                out.append(F.lit(-0.5) * (F.lit(math.log(2 * math.pi * var)) + gap * gap / F.lit(var)))
+        return out
+
     def learn(self, c, x):
         gap = x - c["mean"]
         c["mean"] = c["mean"] + gap / c["n"]
@@ -243,6 +291,10 @@ class BernoulliNB(NaiveBayes):
 
         return total(F.zip_with(x, c["on"], term))
 
+    def terms(self, c, x):
+        p = [(on + self.alpha) / (c["n"] + 2 * self.alpha) for on in c["on"]]
+        return [F.when(v > 0, _log(q)).otherwise(_log(1 - q)) for v, q in zip(x, p, strict=True)]
+
     def learn(self, c, x):
         c["on"] = c["on"] + (x > 0)
 
@@ -278,6 +330,11 @@ class MultinomialNB(NaiveBayes):
 
         return bind(total(c["total"]) + self.alpha * F.size(c["total"]), of)
 
+    def terms(self, c, x):
+        whole = sum(c["total"]) + self.alpha * len(x)
+        theta = [(t + self.alpha) / whole for t in c["total"]]
+        return [F.when(v > 0, v * _log(q)).otherwise(0.0) for v, q in zip(x, theta, strict=True) if q > 0]
+
     def learn(self, c, x):
         c["total"] = c["total"] + x
 

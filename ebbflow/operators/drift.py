@@ -7,11 +7,12 @@ from collections.abc import Mapping
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql import types as T
 
-from ebbflow.functions.expressions import ks_critical, ks_statistic
+from ebbflow.functions.expressions import ks_critical
 from ebbflow.operators.base import Sequential, Stepped
 from ebbflow.plans.layout import Layout, Names
 from ebbflow.plans.ops import PyOps
@@ -484,17 +485,26 @@ class KSWIN(Detector):
         return {"status": out}
 
     def windowed(self, df: DataFrame, feature: str, order_by: Names, key: Names = None, rows_per_block: int = 20_000) -> DataFrame:
-        """All columns of ``df`` and ``status`` without a Python worker, a key's rows dealt into parts that overlap by a window.
+        """All columns of ``df`` and ``status``, a key's rows dealt into parts that overlap by a window.
 
-        Every row counts; a null among the values of a window makes its status 0.
+        Every row counts; a null among the values of a window makes its status
+        0. A task holds one part, at most ``rows_per_block + window_size - 1`` rows.
         """
         at = Layout.of(df, feature, None, order_by, key)
         w, s = self.window_size, self.stat_size
         dealt = halo_blocks(df, at.order_by, w, at.key, rows_per_block)
-        frame = Window.partitionBy(*[F.col(f"`{k}`") for k in at.key], "__part").orderBy("__rn").rowsBetween(-(w - 1), 0)
-        held = dealt.withColumn("__w", F.collect_list(F.col(f"`{feature}`").cast("double")).over(frame)).where(~F.col("__halo"))
-        gap = ks_statistic(F.slice("__w", 1, s), F.slice("__w", w - s + 1, s))
-        held = held.withColumn("__gap", F.when(F.size("__w") == w, gap))
-        critical = ks_critical(s, s, self.alpha)
-        status = F.when(F.col("__gap") > critical, DRIFT).when(F.col("__gap") > critical * 0.8, WARNING).otherwise(NONE)
-        return held.select(*[F.col(f"`{c}`") for c in df.columns], status.alias("status"))
+        rows = dealt.withColumn("__value", F.col(f"`{feature}`").cast("double"))
+        kept = df.columns
+        schema = T.StructType([*df.schema.fields, T.StructField("status", T.IntegerType())])
+
+        def work(part: pa.Table) -> pa.Table:
+            part = part.sort_by("__rn").combine_chunks()
+            values = part.column("__value").to_numpy()
+            missing = np.cumsum(np.concatenate(([0], np.isnan(values))))
+            status = self.run(self.initial(), np.where(np.isnan(values), 0.0, values)[:, None], np.zeros(len(values)), True)["status"].astype(np.int32)
+            status[w - 1 :][missing[w:] > missing[:-w]] = NONE
+            mine = ~part.column("__halo").to_numpy()
+            columns = [part.column(c) for c in kept]
+            return pa.Table.from_arrays([*columns, pa.chunked_array([status])], [*kept, "status"]).filter(pa.array(mine))
+
+        return rows.groupBy(*[F.col(f"`{k}`") for k in at.key], "__part").applyInArrow(work, schema)

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from ebbflow.functions.expressions import dot, vector
 from ebbflow.functions.optimizers import Adam, Rule
 from ebbflow.operators.base import Fitted, Sequential, Stepped
-from ebbflow.plans.layout import Layout, Names, names
+from ebbflow.plans.layout import Layout, Names, masked, names
 from ebbflow.plans.windows import prefix
 
 # -- ordinary least squares
@@ -72,11 +72,13 @@ def _products(features: tuple[str, ...], target: str) -> tuple[Column, dict[str,
 
 def _packed(d: int, mark: str = "") -> list[Column]:
     """``n, sx, sy, sxx, sxy`` from single sums, whose names begin with ``mark``."""
-    zero = lambda c: F.coalesce(F.col(mark + c), F.lit(0.0))
-    return [
-        F.col(f"{mark}n").cast("long").alias("n"), F.array(*[zero(f"sx{i}") for i in range(d)]).alias("sx"), zero("sy").alias("sy"),
-        F.array(*[zero(f"sxx{i}_{j}") for i in range(d) for j in range(i, d)]).alias("sxx"), F.array(*[zero(f"sxy{i}") for i in range(d)]).alias("sxy"),
-    ]
+    zero = lambda c: f"coalesce({mark}{c}, 0D)"
+    listed = lambda names: f"array({', '.join(map(zero, names))})"
+    packed = {
+        "n": f"cast({mark}n AS bigint)", "sx": listed(f"sx{i}" for i in range(d)), "sy": zero("sy"),
+        "sxx": listed(f"sxx{i}_{j}" for i in range(d) for j in range(i, d)), "sxy": listed(f"sxy{i}" for i in range(d)),
+    }
+    return [F.expr(f"{value} AS {name}") for name, value in packed.items()]
 
 
 class Regression:
@@ -90,9 +92,14 @@ class Regression:
         if target is None:
             raise ValueError("Regression needs a target")
         at = Layout.of(df, features, target, None, key, ordered=False, exclude=exclude)
-        known, parts = _products(at.features, target)
-        sums = df.where(known).groupBy(*[F.col(f"`{k}`") for k in at.key]).agg(*[(F.count(v) if name == "n" else F.sum(v)).alias(name) for name, v in parts.items()])
-        return FittedRegression(at, sums.select(*[F.col(f"`{k}`") for k in at.key], *_packed(len(at.features))))
+        d = len(at.features)
+        rows = masked(df, at.key, [F.col(f"`{c}`") for c in (*at.features, target)])
+        sums = {"n": f"count(__v{d})", "sy": f"sum(__v{d})"} | {f"sx{i}": f"sum(__v{i})" for i in range(d)} | {f"sxy{i}": f"sum(__v{i} * __v{d})" for i in range(d)}
+        sums |= {f"sxx{i}_{j}": f"sum(__v{i} * __v{j})" for i in range(d) for j in range(i, d)}
+        summed = rows.groupBy(*[f"__k{i}" for i in range(len(at.key))]).agg(*[F.expr(f"{value} AS __{name}") for name, value in sums.items()])
+        if at.key:
+            summed = summed.where("__n > 0")
+        return FittedRegression(at, summed.select(*[F.col(f"__k{i}").alias(k) for i, k in enumerate(at.key)], *_packed(d, "__")))
 
     def prefix(self, df: DataFrame, features: Names, target: str, order_by: Names, key: Names = None, inclusive: bool = False) -> DataFrame:
         """All columns of ``df``, ``y_pred`` and ``coef`` from the rows before each (and the row itself, if ``inclusive``).

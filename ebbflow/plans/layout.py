@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Names = str | Sequence[str] | None
@@ -47,3 +47,17 @@ def assert_total_order(df: DataFrame, order_by: Names, key: Names = None) -> Non
     twice = df.groupBy(*[F.col(f"`{c}`") for c in columns]).count().where("count > 1").limit(1).collect()
     if twice:
         raise ValueError(f"{columns} is not a total order: {twice[0].asDict()}")
+
+
+def masked(df: DataFrame, key: tuple[str, ...], values: list[Column]) -> DataFrame:
+    """``__k0, ...`` and ``__v0, ...``: keys, and doubles that are all null in rows where any is null or NaN.
+
+    For aggregates, which skip nulls. A filter would say the same, but is pushed
+    below whatever computes the values, so they would be computed twice.
+    """
+    keys = [f"__k{i}" for i in range(len(key))]
+    held = [f"__v{i}" for i in range(len(values))]
+    known = " AND ".join(f"{v} IS NOT NULL AND NOT isnan({v})" for v in held) or "true"
+    rows = df.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(key, keys, strict=True)], *[v.cast("double").alias(n) for v, n in zip(values, held, strict=True)])
+    rows = rows.selectExpr(*keys, *held, f"{known} AS __known")
+    return rows.selectExpr(*keys, *[f"CASE WHEN __known THEN {v} END AS {v}" for v in held])

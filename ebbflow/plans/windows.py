@@ -10,10 +10,8 @@ along as a halo.
 
 from __future__ import annotations
 
-import operator
 from collections.abc import Mapping
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +19,8 @@ from pyspark.sql.window import Window
 
 from ebbflow.plans.layout import Names, names
 
-BLOCKS = 32
+#: Least and most blocks of an order. They balance work and don't change results; a table of sizes beyond has larger blocks.
+BLOCKS, MOST_BLOCKS = 32, 2048
 
 
 def _columns(of: tuple[str, ...]) -> list[Column]:
@@ -46,25 +45,36 @@ class Blocks:
         if not self.bounds:
             return F.lit(0)
         value = self._number(self.first, self.kind)
-        # plain comparisons: compiled, and safe to infer filters from (a lambda would hide its column from the optimizer)
-        return F.coalesce(reduce(operator.add, [(value > b).cast("int") for b in self.bounds]), F.lit(0))
+
+        def place(low: int, high: int) -> Column:
+            """How many of the bounds lie below, where it is known to be from ``low`` to ``high``."""
+            if low == high:
+                return F.lit(low)
+            middle = (low + high) // 2
+            return F.when(value > self.bounds[middle], place(middle + 1, high)).otherwise(place(low, middle))
+
+        # plain comparisons by halves: compiled, and safe to infer filters from (a lambda would hide its column from the optimizer)
+        return F.when(value.isNull(), 0).otherwise(place(0, len(self.bounds)))
 
 
 _NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double", "date")
 
 
-def order_blocks(df: DataFrame, order_by: Names, blocks: int = BLOCKS) -> Blocks:
+def order_blocks(df: DataFrame, order_by: Names, blocks: int | None = None) -> Blocks:
     """Quantiles of the whole table (one pass, ``blocks`` numbers for the driver). Columns without a numeric form make one block.
 
+    By default there are twice as many blocks as shuffle partitions.
+
     Results that are built in several steps on one table take its blocks once
     and hand them on.
     """
+    blocks = blocks or min(MOST_BLOCKS, max(BLOCKS, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     first = names(order_by)[0]
     kind = dict(df.dtypes)[first]
     if kind not in _NUMERIC and not kind.startswith(("timestamp", "decimal")):
         return Blocks(first, kind, ())
     shares = [k / blocks for k in range(1, blocks)]
-    bounds = df.agg(F.percentile_approx(Blocks._number(first, kind), shares, 1000).alias("b")).first()["b"] or []
+    bounds = df.agg(F.percentile_approx(Blocks._number(first, kind), shares, max(1000, 20 * blocks)).alias("b")).first()["b"] or []
     return Blocks(first, kind, tuple(sorted(set(bounds))))
 
 

@@ -8,6 +8,7 @@ streaming rate source; ``frame`` gives ``seq, x, y`` for rows 1 to n.
 
 from __future__ import annotations
 
+import math
 import operator
 from dataclasses import dataclass, replace
 from functools import reduce
@@ -85,10 +86,15 @@ class RandomRBFGenerator(Generator):
         return F.array(*x), y
 
     def wide(self, spark, n, d):
-        """As two projections: one compiled method for all would be too long to be optimised."""
-        rows = spark.range(1, 1 + n).select(F.col("id").alias("seq")).select("seq", self._chosen(F.col("seq")).alias("chosen"))
-        x, y = self._around(F.col("seq"), F.col("chosen"))
-        return rows.select("seq", *[v.alias(f"x{i}") for i, v in enumerate(x[:d])], y.alias("y"))
+        """In steps, as one compiled method for all would be too long to be optimised, and written out, as Spark parses faster than Python builds columns."""
+        places, classes, weights = self.centroids()
+        drawn = lambda *parts: f"cast(shiftrightunsigned(xxhash64({', '.join(f'cast({p} AS bigint)' for p in (self.seed, *parts))}), 11) AS double) / {float(1 << 53)!r}D"
+        pick = lambda values, mark="": f"get(array({', '.join(f'{v!r}{mark}' for v in values)}), chosen)"
+        noise = lambda j: f"sqrt(-2D * ln(1D - {drawn('seq', j, 0)})) * cos({2 * math.pi!r}D * ({drawn('seq', j, 1)}))"
+        rows = spark.range(1, 1 + n).selectExpr("id AS seq").selectExpr("seq", f"{drawn('seq', -1)} AS u")
+        below = " ".join(f"WHEN u < {float(w)!r}D THEN {k}" for k, w in enumerate(weights[:-1]))
+        rows = rows.selectExpr("seq", f"CASE {below} ELSE {len(weights) - 1} END AS chosen")
+        return rows.selectExpr("seq", *[f"{pick(map(float, places[:, j]), 'D')} + 0.1D * ({noise(j)}) AS x{j}" for j in range(min(d, self.n_features))], f"{pick(map(int, classes))} AS y")
 
 
 @dataclass(frozen=True)
