@@ -8,7 +8,7 @@ from ebbflow.catalogue.shared import LINEITEM, dimensions, dimensions_sql, linei
 from ebbflow.operators.bayes import BernoulliNB, GaussianNB, MultinomialNB
 from ebbflow.operators.metrics import Accuracy
 
-D = 8
+D = 64
 LETTERS = "aeinorst"
 
 

@@ -97,14 +97,14 @@ def rcf_scores(spark, sf_dir):
 
 def _votes(op):
     def run(spark, sf_dir):
-        rows, names = dimensions(spark, sf_dir, 6)
+        rows, names = dimensions(spark, sf_dir, 64)
         return op.prequential(rows, names, "label", "vec_id").select("vec_id", "label", "y_pred")
 
     return run
 
 
 def drift_aware_bagging_drifts(spark, sf_dir):
-    rows, names = dimensions(spark, sf_dir, 6)
+    rows, names = dimensions(spark, sf_dir, 64)
     return DriftAwareBagging(GaussianNB(), DDM(), 5, seed=2).fit(rows, names, "label", "vec_id").per_learner_drifts()
 
 

@@ -27,7 +27,7 @@ EVENTS = """SELECT event_id, ts, user_id, event_type, value, (event_type = 'erro
 
 
 def dimensions(spark: SparkSession, sf_dir: str, n: int) -> tuple[DataFrame, list[str]]:
-    """Embeddings with the first ``n`` numbers as columns ``e0, e1, ...``."""
+    """Embeddings, whose vectors have ``n`` numbers, with these as columns ``e0, e1, ...``."""
     names = [f"e{i}" for i in range(n)]
     rows = table(spark, sf_dir, "embeddings")
     return rows.select("vec_id", "label", *[F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate(names)]), names

@@ -136,13 +136,13 @@ def column_transformer(spark, sf_dir):
 
 
 def gaussian_projection_score(spark, sf_dir):
-    rows, names = dimensions(spark, sf_dir, 4)
+    rows, names = dimensions(spark, sf_dir, 64)
     model = GaussianProjectionDetector(3, directions=DIRECTIONS).fit(rows, names)
     return model.score_one(rows).select("vec_id", rounded("score_one"))
 
 
 def gaussian_projection_prequential(spark, sf_dir):
-    rows, names = dimensions(spark, sf_dir, 4)
+    rows, names = dimensions(spark, sf_dir, 64)
     return GaussianProjectionDetector(3, directions=DIRECTIONS).prequential(rows, names, "vec_id").select("vec_id", rounded("score_one"))
 
 
@@ -179,7 +179,7 @@ def _projected(window: str) -> str:
     lines = [" + ".join(f"e{j} * {w!r}::DOUBLE" for j, w in enumerate(d)) for d in DIRECTIONS]
     z = [f"CASE WHEN var_samp(p{i}) {window} > 2.220446049250313e-16 THEN abs(p{i} - avg(p{i}) {window}) / sqrt(var_samp(p{i}) {window}) ELSE 0 END" for i in range(3)]
     return f"""SELECT vec_id, round(CASE WHEN n < 2 THEN 0.5 ELSE 1 / (1 + exp(-(z / 3 - 2.0))) END, 6) AS score_one FROM (
-        SELECT vec_id, count(*) {window} AS n, {" + ".join(z)} AS z FROM (SELECT vec_id, {", ".join(f"{p} AS p{i}" for i, p in enumerate(lines))} FROM ({dimensions_sql(4)})))"""
+        SELECT vec_id, count(*) {window} AS n, {" + ".join(z)} AS z FROM (SELECT vec_id, {", ".join(f"{p} AS p{i}" for i, p in enumerate(lines))} FROM ({dimensions_sql(64)})))"""
 
 
 _SHARE = lambda a, b: f"round(CASE WHEN {b} > 0 THEN ({a})::DOUBLE / ({b}) ELSE 0 END, 6)"

@@ -10,7 +10,7 @@ from ebbflow.operators.drift import KSWIN
 from ebbflow.operators.neighbours import KNN
 from ebbflow.sources.streams import batch_stream, skip_stream, take_stream
 
-D, K, W = 4, 5, 100
+D, K, W = 64, 5, 100
 _KNN = KNN(k=K, window_size=W)
 
 

@@ -411,6 +411,26 @@ class CutForest(Sequential):
         return {"n": row["n"], "numbers": list(row["numbers"]), "points": points, "low": low, "high": high, "trees": trees}
 
 
+class _SharedForest(Sequential):
+    """A share of the trees, by the number in the first feature."""
+
+    output_ddl = CutForest.output_ddl
+    state_ddl = CutForest.state_ddl
+    supervised = False
+
+    def __init__(self, shares: list[list[int]], tree_size: int, seed: int):
+        self.forests = [CutForest(share, tree_size, seed) for share in shares]
+
+    def initial(self):
+        return {}
+
+    def run(self, state, x, y, emit):
+        forest = self.forests[int(x[0, 0])] if len(x) else self.forests[0]
+        if not state and len(x):
+            state.update(forest.initial())
+        return forest.run(state, x[:, 1:], y, emit)
+
+
 class RandomCutForestApproximation:
     """A forest of random cut trees over the last ``tree_size`` rows; high scores for points that stand apart.
 
@@ -429,17 +449,15 @@ class RandomCutForestApproximation:
     def fit_score(self, df: DataFrame, features: Names, order_by: Names, key: Names = None, threshold: float = 3.0) -> DataFrame:
         """All columns of ``df``, the score of each row after it was inserted, and ``is_anomaly``: the score over the expected depth exceeds ``threshold``."""
         at = Layout.of(df, features, None, order_by, key)
-        summed = None
         by = [f"__k{i}" for i in range(len(at.key))] + [f"__o{i}" for i in range(len(at.order_by))]
         rows = df.select(
             *[F.col(f"`{k}`").alias(f"__k{i}") for i, k in enumerate(at.key)], *[F.col(f"`{o}`").alias(f"__o{i}") for i, o in enumerate(at.order_by)],
             *[F.col(f"`{f}`").cast("double").alias(f"__f{i}") for i, f in enumerate(at.features)], F.struct("*").alias("__whole"),
         )
-        inner = Layout(tuple(f"__f{i}" for i in range(len(at.features))), None, tuple(by[len(at.key) :]), tuple(by[: len(at.key)]))
-        for number, share in enumerate(self._shares()):
-            part = rows if number == 0 else rows.withColumn("__whole", F.lit(None).cast(rows.schema["__whole"].dataType))
-            made = fold(part, CutForest(share, self.tree_size, self.seed), inner, "run").select(*by, "__whole", "score", "size")
-            summed = made if summed is None else summed.unionByName(made)
+        inner = Layout(("__b", *[f"__f{i}" for i in range(len(at.features))]), None, tuple(by[len(at.key) :]), (*by[: len(at.key)], "__b"))
+        # one scan: each row goes to the owners of all shares, the whole row to the first alone
+        dealt = rows.withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(self.blocks - 1)))).withColumn("__whole", F.when(F.col("__b") == 0, F.col("__whole")))
+        summed = fold(dealt, _SharedForest(self._shares(), self.tree_size, self.seed), inner, "run").select(*by, "__whole", "score", "size")
         met = summed.groupBy(*by).agg(F.first("__whole", ignorenulls=True).alias("__whole"), (F.sum("score") / self.n_trees).alias("score"), F.max("size").alias("__size"))
         depth = F.greatest(F.lit(1.0), F.log2(F.greatest(F.col("__size").cast("double"), F.lit(1.0))))
         return met.select(*[F.col(f"__whole.`{c}`").alias(c) for c in df.columns], "score", (F.col("score") / depth > threshold).alias("is_anomaly"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 import operator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -85,6 +85,21 @@ class RandomRBFGenerator(Generator):
         x, y = self._around(seq, self._chosen(seq))
         return F.array(*x), y
 
+    def drawn_columns(self, seq: Column, epoch: Column) -> tuple[Column, Column]:
+        """``columns`` with places, classes and weights that are themselves functions of ``epoch`` and the centroid's number."""
+        of = self.seed * 1009 + 7
+        weights = F.array(*[uniform(of, epoch, c, -1) for c in range(self.n_centroids)])
+
+        def choose(w: Column) -> Column:
+            aim = uniform(self.seed, seq, -1) * total(w)
+            start = F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("k"))
+            walked = F.aggregate(w, start, lambda a, v: F.struct((a["s"] + v).alias("s"), (a["k"] + (a["s"] + v <= aim).cast("int")).alias("k")))
+            return F.least(walked["k"], F.lit(self.n_centroids - 1))
+
+        chosen = bind(weights, choose)
+        x = [uniform(of, epoch, chosen, j) + 0.1 * normal(self.seed, seq, j) for j in range(self.n_features)]
+        return F.array(*x), (F.floor(uniform(of, epoch, chosen, -2) * self.n_classes) + 1).cast("int")
+
     def wide(self, spark, n, d):
         """In steps, as one compiled method for all would be too long to be optimised, and written out, as Spark parses faster than Python builds columns."""
         places, classes, weights = self.centroids()
@@ -99,28 +114,21 @@ class RandomRBFGenerator(Generator):
 
 @dataclass(frozen=True)
 class ConceptDriftStream(Generator):
-    """A base generator that is drawn anew at every multiple of ``drift_interval``; generators without drawn parameters stay as they are."""
+    """A base generator that is drawn anew at every multiple of ``drift_interval``, without end; generators without drawn parameters stay as they are."""
 
     base: Generator
     drift_interval: int = 1000
     drift_type: str = "sudden"
     seed: int = 1
-    epochs: int = 16
 
     def __post_init__(self):
         if self.drift_type != "sudden":
             raise NotImplementedError("only sudden drift is defined")
 
     def columns(self, seq):
-        """Epochs past the last of ``epochs`` start over from the first."""
         if not isinstance(self.base, RandomRBFGenerator):
             return self.base.columns(seq)
-        epoch = (F.floor(seq / self.drift_interval) % self.epochs).cast("int")
-        made = [replace(self.base, seed=self.base.seed * 1009 + e).columns(seq) for e in range(self.epochs)]
-        x, y = made[0]
-        for e in range(1, self.epochs):
-            x, y = F.when(epoch == e, made[e][0]).otherwise(x), F.when(epoch == e, made[e][1]).otherwise(y)
-        return x, y
+        return self.base.drawn_columns(seq, F.floor(seq / self.drift_interval).cast("bigint"))
 
 
 #: Segments of a seven-segment display for the digits 0 to 9 (top, top right, bottom right, bottom, bottom left, top left, middle).
@@ -227,8 +235,7 @@ class HyperplaneGenerator(Generator):
 
     With ``mag_change`` the first ``n_drift_features`` weights take a step up or
     down after every row, clamped to [0, 1]. A clamped walk does not compose, so
-    weights of the rows wanted are walked on the driver once, and ``frame``
-    joins them; ``columns`` is for ``mag_change = 0``.
+    ``frame`` walks them through the rows in one task; ``columns`` is for ``mag_change = 0``.
     """
 
     n_features: int = 10

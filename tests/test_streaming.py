@@ -106,7 +106,7 @@ def test_generator_rules(spark):
 
 
 def test_concept_drift_changes_centroids(spark):
-    stream = G.ConceptDriftStream(G.RandomRBFGenerator(2, 2, 3), 200, epochs=2)
+    stream = G.ConceptDriftStream(G.RandomRBFGenerator(2, 2, 3), 200)
     rows = stream.frame(spark, 399).withColumn("epoch", F.floor(F.col("seq") / 200))
     means = rows.groupBy("epoch").agg(F.avg(F.get("x", F.lit(0))).alias("m")).orderBy("epoch").collect()
     assert len(means) == 2 and abs(means[0]["m"] - means[1]["m"]) > 1e-3
