@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ebbflow.catalogue import bayes, detectors, learners, linear, sources, statistics, windows
+from ebbflow.catalogue import bayes, detectors, learners, linear, rules, sources, statistics, windows
 
-MODULES = (bayes, linear, statistics, windows, detectors, learners, sources)
+MODULES = (bayes, linear, statistics, windows, detectors, learners, sources, rules)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

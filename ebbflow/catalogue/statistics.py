@@ -11,7 +11,8 @@ from ebbflow.operators.compose import ColumnTransformer, FeatureUnion
 from ebbflow.operators.transform import MaxAbsScaler, MeanImputer, MinMaxScaler, ModeImputer, OneHotEncoder, OrdinalEncoder, StandardScaler, TargetEncoder
 
 #: Fixed directions of the projection query.
-DIRECTIONS = [[0.5, 0.5, 0.5, 0.5], [0.5, -0.5, 0.5, -0.5], [0.8, 0.0, -0.6, 0.0]]
+#: Three directions in 64 dimensions, of length 1: signs by single bits of the dimension's number.
+DIRECTIONS = [[(1 - 2 * (j >> k & 1)) / 8 for j in range(64)] for k in (0, 2, 5)]
 FOREST = HalfSpaceTrees(n_trees=3, height=3, window_size=250, seed=5, bounds=(0.0, 5.0))
 
 

@@ -17,13 +17,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ebbflow.functions.expressions import bind, total, vector
-from ebbflow.operators.base import Fitted, Sequential
+from ebbflow.operators.base import Fitted, Sequential, apply_global
 from ebbflow.operators.linear import with_state
 from ebbflow.plans.layout import Layout, Names, masked
 
 
-#: Numbers of a model that are written into expressions; beyond, the model is joined to the rows.
-MOST_CONSTANTS = 2048
+#: Numbers of a model that are written into expressions; longer ones would not be compiled well.
+MOST_CONSTANTS = 64
 
 
 def _log(value: float) -> Column:
@@ -110,9 +110,13 @@ class NaiveBayes(Sequential):
     def learn(self, c: dict, x: np.ndarray) -> None:
         raise NotImplementedError
 
-    def score_one(self, c: dict, x: np.ndarray) -> float:
+    def score_many(self, c: dict, x: np.ndarray) -> np.ndarray:
+        """Log likelihoods of rows in one class."""
         raise NotImplementedError
 
+    def score_one(self, c: dict, x: np.ndarray) -> float:
+        return float(self.score_many(c, x[None, :])[0])
+
     def one(self, state, x, y):
         label = int(y)
         c = state["classes"].get(label)
@@ -139,8 +143,13 @@ class NaiveBayes(Sequential):
         return {"y_pred": [o[0] for o in out], "proba": [list(o[1].items()) for o in out]}
 
     def apply(self, state, x):
-        out = [self._answer(state, row) for row in x]
-        return {"y_pred": [o[0] for o in out], "proba": [list(o[1].items()) for o in out]}
+        if not state["n"]:
+            return {"y_pred": [0] * len(x), "proba": [[]] * len(x)}
+        labels = sorted(state["classes"])
+        s = np.stack([math.log(state["classes"][k]["n"] / state["n"]) + self.score_many(state["classes"][k], x) for k in labels], axis=1)
+        e = np.exp(s - s.max(axis=1, keepdims=True))
+        shares = (e / e.sum(axis=1, keepdims=True)).tolist()
+        return {"y_pred": [labels[k] for k in np.argmax(s, axis=1).tolist()], "proba": [list(zip(labels, row, strict=True)) for row in shares]}
 
     def dump(self, state):
         rows = [{"label": k, "n": c["n"], **{p: [self._number(v) for v in c[p].tolist()] for p in self.parts}} for k, c in sorted(state["classes"].items())]
@@ -161,14 +170,15 @@ class FittedNaiveBayes(Fitted):
     def predict(self, df: DataFrame) -> DataFrame:
         """All columns of ``df`` with ``y_pred`` and ``proba``; label 0 and an empty map from an empty model.
 
-        A single model of moderate size goes into the compiled expressions as
-        constants; models by key meet their rows in a join.
+        A single small model goes into the compiled expressions as constants, a
+        larger one to numpy, and models by key meet their rows in a join.
         """
         if not self.layout.key:
             held = self.state.limit(1).collect()
             model = held[0].asDict(recursive=True) if held else {"n": 0, "classes": []}
             if len(model["classes"] or []) * len(self.layout.features) <= MOST_CONSTANTS:
                 return self._unrolled(df, model)
+            return apply_global(df, self.op, self.layout.features, df.sparkSession.createDataFrame(held, self.state.schema))
         x = vector([F.col(f"`{f}`") for f in self.layout.features])
         met = with_state(df, self.state.withColumnsRenamed({"n": "__n", "classes": "__classes"}), self.layout.key)
         label, proba = self.op.predict_columns(F.col("__classes"), F.col("__n"), F.col("__x"))
@@ -259,14 +269,13 @@ class GaussianNB(NaiveBayes):
         c["mean"] = c["mean"] + gap / c["n"]
         c["m2"] = c["m2"] + gap * (x - c["mean"])
 
-    def score_one(self, c, x):
+    def score_many(self, c, x):
         if c["n"] < 2:
-            return 0.0
+            return np.zeros(len(x))
         var = c["m2"] / (c["n"] - 1)
         ok = var > 0
-        gap = (x - c["mean"])[ok]
-        var = var[ok]
-        return float(-0.5 * (np.log(2 * math.pi * var) + gap * gap / var).sum())
+        gap = (x - c["mean"])[:, ok]
+        return -0.5 * (np.log(2 * math.pi * var[ok]) + gap * gap / var[ok]).sum(axis=1)
 
 
 class BernoulliNB(NaiveBayes):
@@ -298,9 +307,9 @@ class BernoulliNB(NaiveBayes):
     def learn(self, c, x):
         c["on"] = c["on"] + (x > 0)
 
-    def score_one(self, c, x):
+    def score_many(self, c, x):
         p = (c["on"] + self.alpha) / (c["n"] + 2 * self.alpha)
-        return float(np.where(x > 0, np.log(p), np.log(1 - p)).sum())
+        return np.where(x > 0, np.log(p), np.log(1 - p)).sum(axis=1)
 
     def _number(self, v):
         return int(v)
@@ -338,7 +347,7 @@ class MultinomialNB(NaiveBayes):
     def learn(self, c, x):
         c["total"] = c["total"] + x
 
-    def score_one(self, c, x):
-        theta = (c["total"] + self.alpha) / (c["total"].sum() + self.alpha * len(x))
-        ok = (theta > 0) & (x > 0)
-        return float((x[ok] * np.log(theta[ok])).sum())
+    def score_many(self, c, x):
+        theta = (c["total"] + self.alpha) / (c["total"].sum() + self.alpha * x.shape[1])
+        ok = theta > 0
+        return np.where(x[:, ok] > 0, x[:, ok] * np.log(theta[ok]), 0.0).sum(axis=1)
