@@ -282,9 +282,9 @@ def _byte_letters() -> dict[int, int]:
     return {b: b if b in plain else next(others) for b in range(256)}
 
 
-def worker_encoder(path: str, drops_space: bool) -> PieceEncoder:
+def worker_encoder(path: str, drops_space: bool, limit: int = 600_000) -> PieceEncoder:
     """One encoder for each Python worker, kept while it is the one in use."""
-    return held((path, drops_space), lambda: library_encoder(path, drops_space))
+    return held((path, drops_space, limit), lambda: library_encoder(path, drops_space, limit))
 
 
 def xxh64(seed: int = 42) -> Callable[[bytes], int]:
