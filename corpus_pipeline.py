@@ -15,6 +15,8 @@ from ebbflow.llm.shared import scratch
 
 #: A document goes if the model holds it for bad rather than good.
 LEAST_SCORE = 0.5
+#: Words whose ids a worker of the last stage remembers; by then the executors' JVMs have grown.
+CACHE = 150_000
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +42,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences of at most 2048 ids, one piece of one document each."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=1, max_length=2048)
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=1, max_length=2048, cache=CACHE)
 
 
 STAGES = [
