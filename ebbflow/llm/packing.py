@@ -29,7 +29,7 @@ def decompose(n: int, max_length: int) -> list[int]:
 
 
 def pack(
-    docs: DataFrame, tokenizer_path: str, end_id: int, max_length: int = 2048, drops_space: bool = False, digest: bool = False
+    docs: DataFrame, tokenizer_path: str, end_id: int, max_length: int = 2048, drops_space: bool = False, digest: bool = False, cache: int = 600_000
 ) -> DataFrame:
     """Pieces of ``docs(doc_id, text)``: ``doc_id, start, length, doc_tokens, bucket, sequence_id, offset`` and their ids.
 
@@ -37,13 +37,13 @@ def pack(
     takes its place (``ids_crc32``: little-endian unsigned 32-bit integers).
     ``bucket`` is the logarithm of the length. A null or empty text is the end
     id alone. Null and repeated document ids are kept as they are, each row
-    packed by itself; other columns are ignored; an empty table gives no rows.
+    packed by itself; a worker remembers the ids of at most ``cache`` words; other columns are ignored; an empty table gives no rows.
     """
     decompose(0, max_length)
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def cut(batches):
-        encoder = worker_encoder(tokenizer_path, drops_space)
+        encoder = worker_encoder(tokenizer_path, drops_space, cache)
         for batch in slices(batches):
             rows, starts, lengths, totals, crcs, values = [], [], [], [], [], []
             for k, text in enumerate(string_values(batch.column(1))):
