@@ -147,6 +147,28 @@ def arrow_map(df: DataFrame, work: Callable, schema, encodes: bool = False) -> D
     return df.mapInArrow(run, schema)
 
 
+BITMAP_BITS = 27
+
+
+def sieve_of(hashes: DataFrame) -> np.ndarray:
+    """Bitmap, by the upper bits, of the one column of ``hashes``: at most 2**27 bits, whatever the number of rows."""
+    h = F.col(hashes.columns[0])
+    cell = F.shiftrightunsigned(h, 64 - BITMAP_BITS)
+    rows = (
+        hashes.groupBy(F.shiftright(cell, 6).alias("word"))
+        .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), cell.bitwiseAND(63).cast("int"))).alias("bits"))
+        .toArrow()
+    )
+    words = np.zeros(1 << (BITMAP_BITS - 6), dtype=np.int64)
+    words[rows.column("word").to_numpy()] = rows.column("bits").to_numpy()
+    return words.view(np.uint64)
+
+
+def listed_in(sieve: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    cell = hashes.view(np.uint64) >> np.uint64(64 - BITMAP_BITS)
+    return (sieve[(cell >> np.uint64(6)).astype(np.int64)] >> (cell & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
 class BoundedCache(dict):
     """A dict that computes what it lacks and is emptied when it reaches ``limit`` entries."""
 
@@ -307,6 +329,6 @@ def mix64(values: np.ndarray) -> np.ndarray:
 
 
 __all__ = [
-    "WORD_PATTERN", "BoundedCache", "PieceEncoder", "arrow_map", "binary_values", "clear_scratch", "cut_lineage", "ensure_checkpoint_dir", "held",
-    "library_encoder", "mix64", "pack_ids", "remove_folder", "row_key", "scratch", "shuffle_width", "slices", "stored", "string_values", "worker_encoder", "xxh64",
+    "BITMAP_BITS", "WORD_PATTERN", "BoundedCache", "PieceEncoder", "arrow_map", "binary_values", "clear_scratch", "cut_lineage", "ensure_checkpoint_dir", "held",
+    "library_encoder", "listed_in", "mix64", "pack_ids", "remove_folder", "row_key", "scratch", "shuffle_width", "sieve_of", "slices", "stored", "string_values", "worker_encoder", "xxh64",
 ]

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ebbflow.llm.components import components
-from ebbflow.llm.shared import arrow_map, binary_values, cut_lineage, row_key, slices, stored, xxh64
+from ebbflow.llm.shared import arrow_map, binary_values, cut_lineage, listed_in, row_key, sieve_of, slices, stored, xxh64
 
 BITS = 64
 
@@ -295,5 +295,17 @@ def keep_one(docs: DataFrame, radius: int = 2, size: int = 3, partitions: int =
     same = (F.col("k1") == F.col("h1")) & (F.col("k2") == F.col("h2"))
     gone = stored(marked.join(one, same, "left_anti").select(F.col("k1").alias("h1"), F.col("k2").alias("h2")).distinct())
     id_, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *row_key(id_, text))
-    return held.join(gone, same, "left_anti").select("row.*")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *row_key(id_, text))
+    sieve = docs.sparkSession.sparkContext.broadcast(sieve_of(gone.select("h1")))  # at most 16 MB
+
+    def stay(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(~listed_in(sieve.value, batch.column(1).to_numpy())))
+
+    def move(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(listed_in(sieve.value, batch.column(1).to_numpy())))
+
+    # only rows that may go are shuffled, to meet those that do
+    moved = arrow_map(rows, move, rows.schema).join(gone, same, "left_anti")
+    return arrow_map(rows, stay, rows.schema).unionByName(moved).select("row.*")

@@ -49,9 +49,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ebbflow.llm.shared import WORD_PATTERN, arrow_map, binary_values, mix64, remove_folder, row_key, scratch, shuffle_width, slices, stored, xxh64
+from ebbflow.llm.shared import BITMAP_BITS, WORD_PATTERN, arrow_map, binary_values, listed_in, mix64, remove_folder, row_key, scratch, shuffle_width, sieve_of, slices, stored, xxh64
 
-BITMAP_BITS = 27
 #: A sieve that holds more than this share of its bits lets too much through.
 FULL = 0.25
 POSITION_SCHEMA = "part long, context long, k1 long, k2 long, at int"
@@ -275,29 +274,10 @@ class FingerprintIndex:
         return self._read("part long", names).distinct() if names else self.spark.createDataFrame([], "part long")
 
 
-def _sieve(hashes: DataFrame) -> np.ndarray:
-    """Bitmap, by the upper bits, of the one column of ``hashes``: at most 2**27 bits, whatever the number of rows."""
-    h = F.col(hashes.columns[0])
-    cell = F.shiftrightunsigned(h, 64 - BITMAP_BITS)
-    rows = (
-        hashes.groupBy(F.shiftright(cell, 6).alias("word"))
-        .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), cell.bitwiseAND(63).cast("int"))).alias("bits"))
-        .toArrow()
-    )
-    words = np.zeros(1 << (BITMAP_BITS - 6), dtype=np.int64)
-    words[rows.column("word").to_numpy()] = rows.column("bits").to_numpy()
-    return words.view(np.uint64)
-
-
 def _full(sieve: np.ndarray) -> bool:
     return int(np.bitwise_count(sieve).sum()) > FULL * (1 << BITMAP_BITS)
 
 
-def _listed(sieve: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    cell = hashes.view(np.uint64) >> np.uint64(64 - BITMAP_BITS)
-    return (sieve[(cell >> np.uint64(6)).astype(np.int64)] >> (cell & np.uint64(63)) & np.uint64(1)).astype(bool)
-
-
 def _equal(*pairs: tuple[str, str]):
     return reduce(operator.and_, [F.col(a) == F.col(b) for a, b in pairs])
 
@@ -307,7 +287,7 @@ WINDOW_SCHEMA = "w long, v long, k1 long, k2 long, at int"
 
 def _border_windows(texts: DataFrame, hits: DataFrame, alone: DataFrame, window: int, part: int, folder: str) -> DataFrame:
     """Hashes of the windows of ``texts(k1, k2, text)`` around the parts in ``alone``, and perhaps of some others."""
-    sieve = _sieve(alone)
+    sieve = sieve_of(alone)
     exact = _full(sieve)
     listed = None if exact else texts.sparkSession.sparkContext.broadcast(sieve)
 
@@ -321,7 +301,7 @@ def _border_windows(texts: DataFrame, hits: DataFrame, alone: DataFrame, window:
                 some = [np.flatnonzero(np.isin(found.part[a:b].view(np.int64), m)) + a for a, b, m in zip(ends[:-1], ends[1:], mine, strict=True)]
                 hit = np.concatenate(some) if some else np.zeros(0, np.int64)
             else:
-                hit = np.flatnonzero(_listed(listed.value, found.part))
+                hit = np.flatnonzero(listed_in(listed.value, found.part))
             n = found.high[hit] - found.low[hit] + 1
             row = np.repeat(found.row[hit], n)
             begins = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(found.low[hit], n)
@@ -353,14 +333,14 @@ def repeated_positions(index: FingerprintIndex, docs: DataFrame, folder: str, hi
     """
     window, part, spark = index.window, index.part, index.spark
     often = stored(index.repeated_parts(batches), folder)
-    sieve = _sieve(often)
+    sieve = sieve_of(often)
     entries = index.entries()
     if not _full(sieve):
         recurs = spark.sparkContext.broadcast(sieve)  # at most 16 MB, like the others
 
         def recurring(rows):
             for batch in rows:
-                yield batch.filter(pa.array(_listed(recurs.value, batch.column(0).to_numpy())))
+                yield batch.filter(pa.array(listed_in(recurs.value, batch.column(0).to_numpy())))
 
         # nearly all parts that occur once stay out of the shuffles; the joins below are exact
         entries = stored(arrow_map(entries, recurring, POSITION_SCHEMA), folder)
@@ -418,7 +398,7 @@ def _cut(rows: DataFrame, marks: DataFrame, work, schema: T.StructType | str) ->
     A bitmap tells which documents may have marks. The others are worked on
     where they are read; only these move, to meet their marks.
     """
-    sieve = rows.sparkSession.sparkContext.broadcast(_sieve(marks.select("h1")))
+    sieve = rows.sparkSession.sparkContext.broadcast(sieve_of(marks.select("h1")))
     kept = [c for c in rows.columns if c not in ("k1", "k2")]
     keyed = rows.select(*kept, "k1", "k2")
     none = pa.list_(pa.int32())
@@ -426,7 +406,7 @@ def _cut(rows: DataFrame, marks: DataFrame, work, schema: T.StructType | str) ->
     def stay(batches):
         def free():
             for batch in batches:
-                left = batch.filter(pa.array(~_listed(sieve.value, batch.column(len(kept)).to_numpy())))
+                left = batch.filter(pa.array(~listed_in(sieve.value, batch.column(len(kept)).to_numpy())))
                 columns = [left.column(k) for k in range(len(kept))]
                 yield pa.RecordBatch.from_arrays([*columns, pa.nulls(left.num_rows, none)], [*kept, "marks"])
 
@@ -434,7 +414,7 @@ def _cut(rows: DataFrame, marks: DataFrame, work, schema: T.StructType | str) ->
 
     def move(batches):
         for batch in batches:
-            yield batch.filter(pa.array(_listed(sieve.value, batch.column(len(kept)).to_numpy())))
+            yield batch.filter(pa.array(listed_in(sieve.value, batch.column(len(kept)).to_numpy())))
 
     moved = arrow_map(keyed, move, keyed.schema)
     met = moved.join(marks, _equal(("k1", "h1"), ("k2", "h2")), "left").select(*kept, "marks")
