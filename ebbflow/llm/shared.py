@@ -170,21 +170,24 @@ def listed_in(sieve: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 class BoundedCache(dict):
-    """A dict that computes what it lacks and is emptied when it reaches ``limit`` entries."""
+    """A dict that computes what it lacks and is emptied when it reaches ``limit`` entries. Keys of over ``longest`` signs aren't kept."""
 
-    def __init__(self, make: Callable, limit: int):
+    def __init__(self, make: Callable, limit: int, longest: int):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.longest = make, limit, longest
 
     def __missing__(self, key):
         value = self.make(key)
+        if len(key) > self.longest:
+            return value
         if len(self) >= self.limit:
             self.clear()
         self[key] = value
         return value
 
 
-_CORE = re.compile(r"([^\W\d_]+)([.,!?;:*$%&#]*)")
+_MARKS = ".,!?;:*$%&#"
+_CORE = re.compile(rf"([^\W\d_]+)([{_MARKS}]*)")
 _SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
 
 
@@ -203,17 +206,17 @@ class PieceEncoder:
       with other white space go to ``encode_text`` whole.
 
     ``encode_core`` is a faster ``encode_piece`` for one run of letters, led
-    by a space or not, or one run of symbols. Memory is bounded: both caches are emptied at ``limit`` entries, and keys
-    over 64 characters are not kept.
+    by a space or not, or one run of symbols. Memory is bounded: both caches are emptied at ``limit`` entries, and long
+    keys are not kept.
     """
 
     def __init__(self, encode_piece: Callable[[str], bytes], encode_text: Callable[[str], bytes], drops_space: bool, limit: int = 300_000, encode_core: Callable[[str], bytes] | None = None):
         self.encode_piece, self.encode_text, self.drops_space = encode_piece, encode_text, drops_space
-        self.words = BoundedCache(self._word, limit)
-        self.cores = BoundedCache(encode_core or encode_piece, limit + limit // 2)
+        self.words = BoundedCache(self._word, limit, 80)
+        self.cores = BoundedCache(encode_core or encode_piece, limit + limit // 2, 64)
 
     def _core(self, text: str) -> bytes:
-        return self.cores[text] if len(text) <= 64 else self.cores.make(text)
+        return self.cores[text]
 
     def _word(self, key: str) -> bytes:
         """``key``: a word; for patterns that keep white space, led by a newline, by NUL (text start) or by nothing (a space)."""
@@ -225,8 +228,11 @@ class PieceEncoder:
                 word = key[1:]
             else:
                 lead = " "
-        if word.isascii() and word.isalpha():
-            core, tail = word, ""
+        if word.isascii():
+            core = word.rstrip(_MARKS)
+            if not core.isalpha():
+                return self.encode_piece(lead + word)
+            tail = word[len(core) :]
         else:
             match = _CORE.fullmatch(word)
             if match is None or not match[1].isalpha():
@@ -244,9 +250,7 @@ class PieceEncoder:
         return out + self._core(tail) if tail else out
 
     def _ids(self, keys: list[str]) -> bytes:
-        if max(map(len, keys)) <= 80:
-            return b"".join(map(self.words.__getitem__, keys))
-        return b"".join([self.words[key] if len(key) <= 80 else self._word(key) for key in keys])
+        return b"".join(map(self.words.__getitem__, keys))
 
     def encode(self, text: str) -> bytes:
         """Little-endian uint32 ids of a whole text."""
