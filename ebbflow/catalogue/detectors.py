@@ -50,7 +50,11 @@ def kswin_fold_status(spark, sf_dir):
 
 def _shared_folder(spark) -> str:
     """Where a streaming query keeps its offsets, state and output."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ebbflow-stream-")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="ebbflow-stream-")
     return f"{root}/stream-{uuid.uuid4().hex}"
 
 
