@@ -240,102 +240,130 @@ class FittedProjections:
         return FittedProjections(self.op, self.layout, state.withColumnsRenamed({"__n": "n", "__mean": "mean", "__m2": "m2"}))
 
 
-def _mix(*parts: int) -> float:
-    """Uniform in [0, 1) from integers (splitmix64)."""
-    h = 0x9E3779B97F4A7C15
-    for p in parts:
-        h = (h ^ p) * 0xBF58476D1CE4E5B9 & 0xFFFFFFFFFFFFFFFF
-        h = (h ^ h >> 27) * 0x94D049BB133111EB & 0xFFFFFFFFFFFFFFFF
+_MASK = 0xFFFFFFFFFFFFFFFF
+
+
+def _mix(numbers: np.ndarray, seed: int, tree: int, draw: int) -> np.ndarray:
+    """Uniform in [0, 1) for each row number (splitmix64 over seed, tree, number and draw)."""
+    h: int | np.ndarray = 0x9E3779B97F4A7C15
+    for p in (seed, tree):
+        h = (h ^ p) * 0xBF58476D1CE4E5B9 & _MASK
+        h = (h ^ h >> 27) * 0x94D049BB133111EB & _MASK
         h ^= h >> 31
-    return (h >> 11) / (1 << 53)
+    h = np.full(len(numbers), h, dtype=np.uint64)
+    for p in (numbers.astype(np.uint64), np.uint64(draw)):
+        h = (h ^ p) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        h ^= h >> np.uint64(31)
+    return (h >> np.uint64(11)).astype(np.float64) / (1 << 53)
 
 
 class CutTree:
     """A binary tree over retained points; node ids index parallel lists, leaves are found by point number."""
 
-    __slots__ = ("cut", "dim", "free", "leaf", "left", "parent", "right", "root", "size")
+    __slots__ = ("cut", "dim", "free", "leaf", "left", "parent", "right", "root")
 
     def __init__(self):
-        self.left, self.right, self.parent, self.dim, self.cut, self.size = [], [], [], [], [], []
+        self.left, self.right, self.parent, self.dim, self.cut = [], [], [], [], []
         self.leaf: dict[int, int] = {}
         self.free: list[int] = []
         self.root = -1
 
-    def _node(self, left: int, right: int, dim: int, cut: float, size: int) -> int:
-        if self.free:
-            k = self.free.pop()
-            self.left[k], self.right[k], self.parent[k], self.dim[k], self.cut[k], self.size[k] = left, right, -1, dim, cut, size
-            return k
-        self.left.append(left), self.right.append(right), self.parent.append(-1), self.dim.append(dim), self.cut.append(cut), self.size.append(size)
-        return len(self.left) - 1
-
-    def insert(self, point: list[float], number: int, low: list[float], high: list[float], seed: int, tree: int) -> None:
-        """Down by the cuts to a leaf, which a random cut of the bounding box then shares with the new point."""
-        new = self._node(-1, -1, 0, 0.0, 1)
-        self.leaf[number] = new
-        if self.root < 0:
-            self.root = new
-            return
-        at, left, right, flat = self.root, self.left, self.right, all(a == b for a, b in zip(low, high, strict=True))
-        while left[at] >= 0:
-            self.size[at] += 1
-            at = left[at] if flat or point[self.dim[at]] <= self.cut[at] else right[at]
-        dim, cut = self._random_cut(low, high, seed, tree, number)
-        above = self.parent[at]
-        a, b = (at, new) if _mix(seed, tree, number, 2) < 0.5 else (new, at)
-        branch = self._node(a, b, dim, cut, 2)
-        self.parent[at] = self.parent[new] = branch
-        self.parent[branch] = above
-        if above < 0:
-            self.root = branch
-        elif left[above] == at:
-            left[above] = branch
-        else:
-            right[above] = branch
+    @property
+    def size(self) -> list[int]:
+        """Points below each node."""
+        out = [0] * len(self.left)
+        for at in self.leaf.values():
+            while at >= 0:
+                out[at] += 1
+                at = self.parent[at]
+        return out
+
+    def learn(self, points: list, first: int, window: int, flat: list[bool], dims: list[int], cuts: list[float], ahead: list[bool]) -> list[int]:
+        """Inserts points numbered from ``first``, the oldest leaving a window of ``window`` first; the depth of each when it was inserted.
 
-    @staticmethod
-    def _random_cut(low: list[float], high: list[float], seed: int, tree: int, number: int) -> tuple[int, float]:
-        spans = [b - a for a, b in zip(low, high, strict=True)]
-        whole = sum(spans)
-        if whole <= 0:
-            return 0, (low[0] + high[0]) / 2
-        left, dim = _mix(seed, tree, number, 0) * whole, 0
-        for dim, span in enumerate(spans):  # noqa: B007
-            left -= span
-            if left <= 0:
-                break
-        return dim, low[dim] + _mix(seed, tree, number, 1) * spans[dim]
-
-    def delete(self, number: int) -> None:
-        """The sibling takes the parent's place."""
-        at = self.leaf.pop(number)
-        branch = self.parent[at]
-        self.free.append(at)
-        if branch < 0:
-            self.root = -1
-            return
-        other = self.right[branch] if self.left[branch] == at else self.left[branch]
-        above = self.parent[branch]
-        self.parent[other] = above
-        if above < 0:
-            self.root = other
-        elif self.left[above] == branch:
-            self.left[above] = other
-        else:
-            self.right[above] = other
-        self.free.append(branch)
-        while above >= 0:
-            self.size[above] -= 1
-            above = self.parent[above]
+        Down by the cuts to a leaf, which a random cut of the bounding box then
+        shares with the new point. Where a point leaves, its sibling takes the
+        parent's place.
+        """
+        left, right, parent, dim, cut, leaf, free, root = self.left, self.right, self.parent, self.dim, self.cut, self.leaf, self.free, self.root
+        depths = []
+        for number, (point, low, d, c, after) in enumerate(zip(points, flat, dims, cuts, ahead, strict=True), first):
+            if number > window:
+                at = leaf.pop(number - window)
+                branch = parent[at]
+                free.append(at)
+                if branch < 0:
+                    root = -1
+                else:
+                    other = right[branch] if left[branch] == at else left[branch]
+                    above = parent[branch]
+                    parent[other] = above
+                    if above < 0:
+                        root = other
+                    elif left[above] == branch:
+                        left[above] = other
+                    else:
+                        right[above] = other
+                    free.append(branch)
+            if free:
+                new = free.pop()
+                left[new] = right[new] = parent[new] = -1
+            else:
+                new = len(left)
+                left.append(-1), right.append(-1), parent.append(-1), dim.append(0), cut.append(0.0)
+            leaf[number] = new
+            if root < 0:
+                root = new
+                depths.append(0)
+                continue
+            at, above, depth = root, -1, 1
+            while (next_ := left[at]) >= 0:
+                above = at
+                at = next_ if low or point[dim[at]] <= cut[at] else right[at]
+                depth += 1
+            if free:
+                branch = free.pop()
+            else:
+                branch = len(left)
+                left.append(-1), right.append(-1), parent.append(-1), dim.append(0), cut.append(0.0)
+            left[branch], right[branch] = (at, new) if after else (new, at)
+            dim[branch], cut[branch], parent[branch] = d, c, above
+            parent[at] = parent[new] = branch
+            if above < 0:
+                root = branch
+            elif left[above] == at:
+                left[above] = branch
+            else:
+                right[above] = branch
+            depths.append(depth)
+        self.root = root
+        return depths
 
     def codisplacement(self, number: int) -> float:
-        """Depth plus the sizes of the siblings on the way up; 0 for a lone point."""
-        at, depth, beside = self.leaf[number], 0, 0
-        while (branch := self.parent[at]) >= 0:
-            beside += self.size[self.right[branch] if self.left[branch] == at else self.left[branch]]
+        """Depth plus the sizes of the siblings on the way up, which are all other points; 0 for a lone point."""
+        at, depth = self.leaf[number], 0
+        while (at := self.parent[at]) >= 0:
             depth += 1
-            at = branch
-        return float(depth + beside)
+        return float(depth + len(self.leaf) - 1)
+
+
+def _random_cuts(low: np.ndarray, high: np.ndarray, numbers: np.ndarray, seed: int, tree: int) -> tuple[np.ndarray, np.ndarray]:
+    """Feature and place of each row's cut through its bounding box, features in proportion to their spans."""
+    spans = high - low
+    whole = np.zeros(len(low))
+    for j in range(spans.shape[1]):
+        whole += spans[:, j]
+    left, dim = _mix(numbers, seed, tree, 0) * whole, np.full(len(low), spans.shape[1] - 1)
+    waiting = np.ones(len(low), dtype=bool)
+    for j in range(spans.shape[1]):
+        left = left - spans[:, j]
+        dim[waiting & (left <= 0)] = j
+        waiting &= left > 0
+    dim[whole <= 0] = 0
+    each = np.arange(len(low))
+    cut = low[each, dim] + _mix(numbers, seed, tree, 1) * spans[each, dim]
+    return dim, np.where(whole <= 0, (low[:, 0] + high[:, 0]) / 2, cut)
 
 
 class CutForest(Sequential):
@@ -355,32 +383,31 @@ class CutForest(Sequential):
         return {"n": 0, "numbers": [], "points": [], "low": None, "high": None, "trees": [CutTree() for _ in self.trees]}
 
     def run(self, state, x, y, emit):
-        """Inserts each row, the oldest leaving a full window first; a row's score is that after its insertion."""
-        out, sizes = [], []
-        for point in x.tolist():
-            number = state["n"] + 1
-            if state["points"] and len(state["points"][0]) != len(point):
-                raise ValueError(f"expected {len(state['points'][0])} features, got {len(point)}")
-            if len(state["numbers"]) == self.tree_size:
-                old = state["numbers"].pop(0)
-                state["points"].pop(0)
-                for t in state["trees"]:
-                    t.delete(old)
-            state["numbers"].append(number)
-            state["points"].append(point)
-            if state["low"] is None:
-                state["low"], state["high"] = list(point), list(point)
-            else:
-                state["low"], state["high"] = list(map(min, state["low"], point)), list(map(max, state["high"], point))
-            whole = 0.0
-            for t, name in zip(state["trees"], self.trees, strict=True):
-                t.insert(point, number, state["low"], state["high"], self.seed, name)
-                if emit:
-                    whole += t.codisplacement(number)
-            state["n"] = number
-            out.append(whole)
-            sizes.append(len(state["numbers"]))
-        return {"score": out, "size": sizes}
+        """Inserts each row, the oldest leaving a full window first; a row's score is that after its insertion.
+
+        Boxes and cuts of all rows are drawn at once, and each tree then takes
+        the rows in one loop.
+        """
+        if not len(x):
+            return {"score": [], "size": []}
+        if state["points"] and len(state["points"][0]) != x.shape[1]:
+            raise ValueError(f"expected {len(state['points'][0])} features, got {x.shape[1]}")
+        held = state["low"] is not None
+        low = np.minimum.accumulate(np.concatenate(([state["low"]], x)) if held else x)[-len(x) :]
+        high = np.maximum.accumulate(np.concatenate(([state["high"]], x)) if held else x)[-len(x) :]
+        numbers = np.arange(state["n"] + 1, state["n"] + len(x) + 1)
+        points, flat = x.tolist(), (low == high).all(axis=1).tolist()
+        sizes = np.minimum(numbers, self.tree_size)
+        scores = np.zeros(len(x), dtype=np.int64)
+        for t, name in zip(state["trees"], self.trees, strict=True):
+            dims, cuts = _random_cuts(low, high, numbers, self.seed, name)
+            ahead = (_mix(numbers, self.seed, name, 2) < 0.5).tolist()
+            scores += t.learn(points, state["n"] + 1, self.tree_size, flat, dims.tolist(), cuts.tolist(), ahead)
+            scores += sizes - 1
+        state["n"], state["low"], state["high"] = int(numbers[-1]), low[-1].tolist(), high[-1].tolist()
+        state["numbers"] = (state["numbers"] + numbers[-self.tree_size :].tolist())[-self.tree_size :]
+        state["points"] = (state["points"] + points[-self.tree_size :])[-self.tree_size :]
+        return {"score": scores.astype(np.float64).tolist(), "size": sizes.tolist()}
 
     def apply(self, state, x):
         """Scores of retained points, the oldest that is equal to within rounding; null for others."""
@@ -402,7 +429,7 @@ class CutForest(Sequential):
         for held in row["trees"]:
             t = CutTree()
             t.root = held["root"]
-            for name in ("left", "right", "parent", "dim", "cut", "size", "free"):
+            for name in ("left", "right", "parent", "dim", "cut", "free"):
                 setattr(t, name, list(held[name]))
             t.leaf = dict(zip(held["points"], held["leaves"], strict=True))
             trees.append(t)

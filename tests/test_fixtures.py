@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import sys
 
 import numpy as np
 import pytest
@@ -335,6 +336,59 @@ def test_cut_forest(spark):
     assert emitted[10] == pytest.approx(scores[10]) and emitted[1] == 0.0
 
 
+def test_cut_forest_equals_its_rules_with_few_calls_for_a_row():
+    """Nested tuples as trees, one row at a time; before, each row took dozens of Python calls for each tree."""
+
+    def mix(*parts):
+        h = 0x9E3779B97F4A7C15
+        for p in parts:
+            h = (h ^ p) * 0xBF58476D1CE4E5B9 & 0xFFFFFFFFFFFFFFFF
+            h = (h ^ h >> 27) * 0x94D049BB133111EB & 0xFFFFFFFFFFFFFFFF
+            h ^= h >> 31
+        return (h >> 11) / (1 << 53)
+
+    def without(tree, number):
+        if tree is None or isinstance(tree, int):
+            return None if tree == number else tree
+        a, b = without(tree[0], number), without(tree[1], number)
+        return b if a is None else a if b is None else (a, b, *tree[2:])
+
+    def added(tree, point, number, flat, dim, cut, first):
+        """The tree with the point, and the point's depth."""
+        if tree is None or isinstance(tree, int):
+            return (number, 0) if tree is None else ((*((tree, number) if first else (number, tree)), dim, cut), 1)
+        side = 0 if flat or point[tree[2]] <= tree[3] else 1
+        below, depth = added(tree[side], point, number, flat, dim, cut, first)
+        return ((below, *tree[1:]) if side == 0 else (tree[0], below, *tree[2:])), depth + 1
+
+    x = np.concatenate((np.ones((3, 2)), np.random.default_rng(8).random((600, 2)).round(2)))
+    op, expected = CutForest([2, 5], 9, 7), []
+    trees: dict = {2: None, 5: None}
+    for number, point in enumerate(x.tolist(), 1):
+        low, high = x[:number].min(axis=0).tolist(), x[:number].max(axis=0).tolist()
+        spans, score = [b - a for a, b in zip(low, high, strict=True)], 0
+        for name, tree in trees.items():
+            dim = 0 if mix(7, name, number, 0) * sum(spans) - spans[0] <= 0 else 1
+            cut = low[dim] + mix(7, name, number, 1) * spans[dim] if sum(spans) > 0 else low[0]
+            trees[name], depth = added(without(tree, number - 9), point, number, low == high, dim, cut, mix(7, name, number, 2) < 0.5)
+            score += depth + min(number, 9) - 1
+        expected.append(score)
+    state, n = op.initial(), 0
+
+    def count(frame, event, argument):
+        nonlocal n
+        n += event == "call"
+
+    first = op.run(state, x[:100], None, True)["score"]
+    sys.setprofile(count)
+    try:
+        rest = op.run(state, x[100:], None, True)["score"]
+    finally:
+        sys.setprofile(None)
+    assert first + rest == expected
+    assert n < len(x)
+
+
 def test_drift_retraining_wrapper_resets():
     op = DriftRetrainingWrapper(Perceptron(), DDM(min_instances=5))
     state = op.initial()
