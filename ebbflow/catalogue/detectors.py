@@ -67,7 +67,8 @@ def _event_stream(spark, sf_dir):
 def streaming_ddm_status(spark, sf_dir):
     """The DDM query over a stream: state in RocksDB, output in Parquet."""
     folder = _shared_folder(spark)
-    out = _DDM.stream(_event_stream(spark, sf_dir), "err", None, ORDER, "user_id")
+    rows = _event_stream(spark, sf_dir).select("event_id", "ts", "user_id", "err")
+    out = _DDM.stream(rows, "err", None, ORDER, "user_id")
     write_available(out.select("event_id", "user_id", "status"), f"{folder}/out", f"{folder}/checkpoint")
     return spark.read.parquet(f"{folder}/out")
 

@@ -42,6 +42,24 @@ def test_stream_equals_batch(spark, table, tmp_path, op):
     assert got.select("seq", *said).orderBy("seq").collect() == expected.select("seq", *said).orderBy("seq").collect()
 
 
+def test_stream_of_many_keys(spark, tmp_path):
+    """What the store and the calls cost is bounded, however many keys there are; null keys are one key, and null orders come first."""
+    rows = spark.range(18_000).select(F.col("id").alias("seq"), F.when(F.col("id") % 6000 > 4, F.col("id") % 6000).alias("k"), (F.col("id") % 7 == 0).cast("int").alias("e"))
+    rows = rows.withColumn("at", F.when(F.col("seq") % 11 > 0, -F.col("seq")))
+    op, folder = DDM(min_instances=2), tmp_path / "in"
+    for low, high in ((0, 9000), (9000, 18_000)):
+        rows.where(f"seq >= {low} and seq < {high}").coalesce(1).write.mode("append").parquet(str(folder))
+        stream = spark.readStream.schema("seq long, k long, e int, at long").parquet(str(folder))
+        out = op.stream(stream, "e", None, ["at", "seq"], "k")
+        query = out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        query.awaitTermination()
+    assert 0 < query.lastProgress.stateOperators[0].numRowsTotal <= 4096
+    expected = op.prequential(rows.withColumn("part", (F.col("seq") >= 9000).cast("int")), "e", None, ["part", "at", "seq"], "k")
+    got = spark.read.parquet(str(tmp_path / "out")).select("seq", "k", "at", "status")
+    assert got.orderBy("seq").collect() == expected.select("seq", "k", "at", "status").orderBy("seq").collect()
+    assert got.where("status > 0").count() > 0
+
+
 def test_keyless_stream(spark, table, tmp_path):
     table.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))
